@@ -1,0 +1,16 @@
+"""Canonical schemas (DDL strings) used across the library."""
+
+ITEMS = ("dataset string, row_id bigint, id string, text string, image_path string, "
+         "metadata string, text_embedding array<double>, image_embedding array<double>")
+QUERIES = ITEMS + ", product_counts int"
+QRELS = "dataset string, query_row bigint, item_row bigint, relevance double"
+HITS = ("query_row bigint, alpha double, beta double, rank int, item_row bigint, "
+        "score double, rel double")
+METRICS = ("alpha double, beta double, k int, mean double, std double, min double, "
+           "max double, n_queries bigint")
+
+# The CSV layout of a catalog / query file (all text; vectors are parsed later).
+CATALOG_CSV = ("id string, text string, image_path string, metadata string, "
+               "text_embedding string, image_embedding string")
+QUERY_CSV = ("id string, text string, image_path string, metadata string, "
+             "product_counts int, text_embedding string, image_embedding string")
