@@ -34,8 +34,9 @@ from pyspark.sql import functions as F
 from vecbench.functions.slerp import slerp_np
 from vecbench.operators.blocks import pack_blocks, prefixed, unpack
 
-HITS_SCHEMA = ("query_row bigint, query_key string, alpha double, beta double, "
-               "rank int, item_row bigint, item_key string, score double")
+HITS_SCHEMA = ("query_row bigint, alpha double, beta double, rank int, item_row bigint, "
+               "score double, rel double")
+HITS_KEYS_SCHEMA = HITS_SCHEMA + ", query_key string, item_key string"
 
 # Default grid of the evaluation (weights of the second modality).
 DEFAULT_WEIGHTS = (0.0, 0.25, 0.5, 0.75, 1.0)
@@ -66,7 +67,8 @@ def _select_topk(S: np.ndarray, k: int):
     return rows, cols, rank
 
 
-def _pair_search(alphas: Sequence[float], betas: Sequence[float], k: int, exclude_self: bool):
+def _pair_search(alphas: Sequence[float], betas: Sequence[float], k: int, exclude_self: bool,
+                 keep_keys: bool, relevant_only: bool = False):
     alphas = [float(a) for a in alphas]
     betas = [float(b) for b in betas]
 
@@ -92,8 +94,11 @@ def _pair_search(alphas: Sequence[float], betas: Sequence[float], k: int, exclud
                 for lo in range(0, len(qrid), ROW_CHUNK):
                     hi_ = min(len(qrid), lo + ROW_CHUNK)
                     self_mask = (qrid[lo:hi_, None] == crid[None, :]) if exclude_self else None
-                    cols_out = {n: [] for n in ("query_row", "query_key", "alpha", "beta",
-                                                "rank", "item_row", "item_key", "score")}
+                    names = ["query_row", "alpha", "beta", "rank", "item_row", "score", "rel"]
+                    if keep_keys:
+                        names += ["query_key", "item_key"]
+                    out = {n: [] for n in names}
+                    qk = qkey[lo:hi_]
                     for a in alphas:
                         Q = qf[a][lo:hi_]
                         for b in betas:
@@ -101,34 +106,36 @@ def _pair_search(alphas: Sequence[float], betas: Sequence[float], k: int, exclud
                             if self_mask is not None:
                                 S = np.where(self_mask, -np.inf, S)
                             r, c, rank = _select_topk(S, k)
-                            cols_out["query_row"].append(qrid[lo:hi_][r])
-                            cols_out["query_key"].append(qkey[lo:hi_][r])
-                            cols_out["alpha"].append(np.full(len(r), a))
-                            cols_out["beta"].append(np.full(len(r), b))
-                            cols_out["rank"].append(rank.astype(np.int32))
-                            cols_out["item_row"].append(crid[c])
-                            cols_out["item_key"].append(ckey[c])
-                            cols_out["score"].append(S[r, c])
-                    yield pa.RecordBatch.from_pydict({
-                        "query_row": pa.array(np.concatenate(cols_out["query_row"]), pa.int64()),
-                        "query_key": pa.array(np.concatenate(cols_out["query_key"]).tolist(), pa.string()),
-                        "alpha": pa.array(np.concatenate(cols_out["alpha"]), pa.float64()),
-                        "beta": pa.array(np.concatenate(cols_out["beta"]), pa.float64()),
-                        "rank": pa.array(np.concatenate(cols_out["rank"]), pa.int32()),
-                        "item_row": pa.array(np.concatenate(cols_out["item_row"]), pa.int64()),
-                        "item_key": pa.array(np.concatenate(cols_out["item_key"]).tolist(), pa.string()),
-                        "score": pa.array(np.concatenate(cols_out["score"]), pa.float64()),
-                    })
+                            if relevant_only:
+                                hit = qk[r] == ckey[c]
+                                r, c, rank = r[hit], c[hit], rank[hit]
+                            out["query_row"].append(qrid[lo:hi_][r])
+                            out["alpha"].append(np.full(len(r), a))
+                            out["beta"].append(np.full(len(r), b))
+                            out["rank"].append(rank.astype(np.int32))
+                            out["item_row"].append(crid[c])
+                            out["score"].append(S[r, c])
+                            out["rel"].append((qk[r] == ckey[c]).astype(np.float64))
+                            if keep_keys:
+                                out["query_key"].append(qk[r])
+                                out["item_key"].append(ckey[c])
+                    types = {"query_row": pa.int64(), "alpha": pa.float64(), "beta": pa.float64(),
+                             "rank": pa.int32(), "item_row": pa.int64(), "score": pa.float64(),
+                             "rel": pa.float64(), "query_key": pa.string(), "item_key": pa.string()}
+                    cols = {}
+                    for n in names:
+                        v = np.concatenate(out[n])
+                        cols[n] = pa.array(v.tolist() if types[n] == pa.string() else v, types[n])
+                    yield pa.RecordBatch.from_pydict(cols)
     return run
 
 
-def _vector_width(df: DataFrame, cols: Sequence[str | None]) -> int:
-    """Largest vector width over the given columns (one aggregate job)."""
-    exprs = [F.max(F.size(c)).alias(f"w{n}") for n, c in enumerate(cols) if c]
-    if not exprs:
-        return 0
+def table_stats(df: DataFrame, cols: Sequence[str | None]) -> tuple[int, int]:
+    """(row count, summed vector width of the given columns) in one aggregate job."""
+    exprs = [F.count(F.lit(1)).alias("n")] + [
+        F.max(F.size(c)).alias(f"w{n}") for n, c in enumerate(cols) if c]
     row = df.agg(*exprs).first()
-    return int(sum(v or 0 for v in row))
+    return int(row[0]), int(sum(v or 0 for v in row[1:]))
 
 
 def broadcast_limit_bytes(spark) -> int:
@@ -147,7 +154,8 @@ def grid_search(queries: DataFrame, items: DataFrame, k: int = max(DEFAULT_KS),
                 text: str = "text_embedding", image: str | None = "image_embedding",
                 exclude_self: bool = False, q_block_rows: int = 1024,
                 c_block_rows: int = 8192, broadcast_bytes: int | None = None,
-                target_tasks: int | None = None) -> DataFrame:
+                target_tasks: int | None = None, keep_keys: bool = False,
+                relevant_only: bool = False, stats: dict | None = None) -> DataFrame:
     """top-``k`` catalog items for every query and every (alpha, beta).
 
     ``alpha`` fuses the query's two modalities, ``beta`` the catalog's
@@ -155,14 +163,24 @@ def grid_search(queries: DataFrame, items: DataFrame, k: int = max(DEFAULT_KS),
     searched (F6). ``exclude_self`` drops the pair of a row with itself
     (leave-one-out when queries and catalog are one table).
 
-    Returns ``query_row, query_key, alpha, beta, rank, item_row, item_key, score``.
+    Returns ``query_row, alpha, beta, rank, item_row, score, rel`` where
+    ``rel`` = 1.0 when the query's key equals the item's key (binary id
+    relevance), plus ``query_key, item_key`` when ``keep_keys``.
+    ``relevant_only`` keeps only rows with ``rel = 1`` (ranks stay the ranks
+    among all items); with one catalog block the filter runs inside the
+    Arrow task, otherwise after the final rank window. Pass
+    ``stats`` (a dict) to receive the row counts used for sizing.
     """
     spark = queries.sparkSession
-    nq, nc = queries.count(), items.count()
+    schema = HITS_KEYS_SCHEMA if keep_keys else HITS_SCHEMA
+    nc, width = table_stats(items, [text, image])
+    nq = nc if queries is items else queries.count()
+    if stats is not None:
+        stats.update(n_queries=nq, n_items=nc)
     if nq == 0 or nc == 0:
-        return spark.createDataFrame([], HITS_SCHEMA)
+        return spark.createDataFrame([], schema)
     limit = broadcast_limit_bytes(spark) if broadcast_bytes is None else broadcast_bytes
-    width = max(_vector_width(items, [text, image]), 1)
+    width = max(width, 1)
     c_bytes = nc * (width * 8 + 64)
     q_bytes = nq * (width * 8 + 64)
     tasks = target_tasks or spark.sparkContext.defaultParallelism * 2
@@ -198,13 +216,15 @@ def grid_search(queries: DataFrame, items: DataFrame, k: int = max(DEFAULT_KS),
         pairs = (cb.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(nqp - 1))))
                    .join(qb.withColumnRenamed("q_part", "_p"), "_p"))
 
-    hits = pairs.mapInArrow(_pair_search(alphas, betas, k, exclude_self), HITS_SCHEMA)
+    hits = pairs.mapInArrow(
+        _pair_search(alphas, betas, k, exclude_self, keep_keys,
+                     relevant_only and single_catalog_block), schema)
     if single_catalog_block:
         return hits
     w = Window.partitionBy("query_row", "alpha", "beta").orderBy(
         F.round("score", SCORE_DIGITS).desc(), F.col("item_row").asc())
-    return (hits.withColumn("rank", F.row_number().over(w))
-                .where(F.col("rank") <= k))
+    ranked = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return ranked.where(F.col("rel") > 0) if relevant_only else ranked
 
 
 def topk_search(queries: DataFrame, items: DataFrame, k: int = 10, *, vector: str = "embedding",
@@ -213,4 +233,4 @@ def topk_search(queries: DataFrame, items: DataFrame, k: int = 10, *, vector: st
     """Exact inner-product top-k of one vector column (flat search)."""
     hits = grid_search(queries, items, k, alphas=(0.0,), betas=(0.0,), key=key, row_id=row_id,
                        text=vector, image=None, exclude_self=exclude_self, **kw)
-    return hits.drop("alpha", "beta")
+    return hits.drop("alpha", "beta") if key else hits.drop("alpha", "beta", "rel")

@@ -157,8 +157,7 @@ def grid_topk_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top-10 items per (query, alpha, beta) over fused vectors."""
     items = embedding_items(spark, sf_dir)
     h = grid_search(items, items, 10, exclude_self=True)
-    return h.select("query_row", "alpha", "beta", "rank", "item_row", _r("score"),
-                    (F.col("query_key") == F.col("item_key")).cast("double").alias("rel"))
+    return h.select("query_row", "alpha", "beta", "rank", "item_row", _r("score"), "rel")
 
 
 @register("flat_topk", """
