@@ -212,3 +212,7 @@ def match_stats_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = embedding_items(spark, sf_dir)
     s = match_stats(relevance_info(items, items, exclude_self=True))
     return s.select("n_queries", "n_matched", "total_matches", _r("avg_matches"))
+
+
+# the remaining registrations live in sibling modules (imported for their side effect)
+from vecbench.plans import registry_tables  # noqa: E402,F401
