@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_SCHEMA = ("blk bigint, part int, n int, row_ids array<bigint>, keys array<string>, "
+BLOCK_SCHEMA = ("blk bigint, part int, grp bigint, n int, row_ids array<bigint>, keys array<string>, "
                 "dim_t int, dim_i int, t array<double>, i array<double>, "
                 "has_t array<boolean>, has_i array<boolean>")
 
@@ -41,7 +41,7 @@ def _dense(arr: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
     return mat, has, d
 
 
-def _emit(part: int, seq: int, row_ids, keys, t, ht, dt, im, hi, di) -> pa.RecordBatch:
+def _emit(part: int, seq: int, grp, row_ids, keys, t, ht, dt, im, hi, di) -> pa.RecordBatch:
     order = np.argsort(row_ids, kind="stable")
     row_ids, keys = row_ids[order], keys[order]
     t, ht, im, hi = t[order], ht[order], im[order], hi[order]
@@ -49,6 +49,7 @@ def _emit(part: int, seq: int, row_ids, keys, t, ht, dt, im, hi, di) -> pa.Recor
     return pa.RecordBatch.from_pydict({
         "blk": pa.array([(part << 24) + seq], pa.int64()),
         "part": pa.array([part], pa.int32()),
+        "grp": pa.array([grp], pa.int64()),
         "n": pa.array([n], pa.int32()),
         "row_ids": pa.array([row_ids], pa.list_(pa.int64())),
         "keys": pa.array([keys.tolist()], pa.list_(pa.string())),
@@ -61,49 +62,72 @@ def _emit(part: int, seq: int, row_ids, keys, t, ht, dt, im, hi, di) -> pa.Recor
     })
 
 
-def _pack_partition(block_rows: int):
+def _pack_partition(block_rows: int, grouped: bool):
     def pack(batches):
         part = TaskContext.get().partitionId()
         seq = 0
-        buf: list[pa.RecordBatch] = []
-        held = 0
 
-        def flush(tbl: pa.Table):
+        def flush(tbl: pa.Table, grp):
             nonlocal seq
             rid = np.asarray(tbl.column("row_id").to_numpy(), dtype=np.int64)
             keys = np.asarray(tbl.column("key").to_pylist(), dtype=object)
             t, ht, dt = _dense(tbl.column("t"))
             im, hi, di = _dense(tbl.column("i"))
-            out = _emit(part, seq, rid, keys, t, ht, dt, im, hi, di)
+            out = _emit(part, seq, grp, rid, keys, t, ht, dt, im, hi, di)
             seq += 1
             return out
 
+        buf: list[pa.Table] = []
+        held, cur = 0, None
         for b in batches:
             if b.num_rows == 0:
                 continue
-            buf.append(b)
-            held += b.num_rows
-            while held >= block_rows:
-                tbl = pa.Table.from_batches(buf)
-                yield flush(tbl.slice(0, block_rows))
-                rest = tbl.slice(block_rows)
-                buf = rest.to_batches() if rest.num_rows else []
-                held = rest.num_rows
+            tbl = pa.Table.from_batches([b])
+            # split the batch where the group changes (input is sorted by group)
+            if grouped:
+                g = np.asarray(tbl.column("grp").to_numpy(), dtype=np.int64)
+                cuts = np.flatnonzero(np.diff(g)) + 1
+                pieces = [(int(g[a]), tbl.slice(a, e - a))
+                          for a, e in zip(np.r_[0, cuts], np.r_[cuts, len(g)])]
+            else:
+                pieces = [(None, tbl)]
+            for grp, piece in pieces:
+                if buf and grp != cur:
+                    yield flush(pa.concat_tables(buf), cur)
+                    buf, held = [], 0
+                cur = grp
+                buf.append(piece)
+                held += piece.num_rows
+                while held >= block_rows:
+                    whole = pa.concat_tables(buf)
+                    yield flush(whole.slice(0, block_rows), cur)
+                    rest = whole.slice(block_rows)
+                    buf, held = ([rest] if rest.num_rows else []), rest.num_rows
         if held:
-            yield flush(pa.Table.from_batches(buf))
+            yield flush(pa.concat_tables(buf), cur)
     return pack
 
 
 def pack_blocks(df: DataFrame, block_rows: int, *, row_id: str = "row_id", key: str | None = "id",
-                text: str = "text_embedding", image: str | None = "image_embedding") -> DataFrame:
-    """Pack each partition of ``df`` into blocks of at most ``block_rows`` rows."""
+                text: str = "text_embedding", image: str | None = "image_embedding",
+                group: str | None = None) -> DataFrame:
+    """Pack each partition of ``df`` into blocks of at most ``block_rows`` rows.
+
+    With ``group`` (a bigint column) the rows are hash-partitioned and sorted
+    by it first, and a block never mixes two groups; the block's ``grp`` is
+    the join key of grouped searches (IVF cells).
+    """
     cols = [F.col(row_id).cast("bigint").alias("row_id"),
             (F.col(key).cast("string") if key else F.lit(None).cast("string")).alias("key"),
             F.col(text).cast("array<double>").alias("t"),
             (F.col(image).cast("array<double>") if image else
              F.lit(None).cast("array<double>")).alias("i")]
+    if group:
+        cols.append(F.col(group).cast("bigint").alias("grp"))
     src = df.select(*cols).where(F.col("t").isNotNull() | F.col("i").isNotNull())
-    return src.mapInArrow(_pack_partition(block_rows), BLOCK_SCHEMA)
+    if group:
+        src = src.repartition("grp").sortWithinPartitions("grp")
+    return src.mapInArrow(_pack_partition(block_rows, bool(group)), BLOCK_SCHEMA)
 
 
 def unpack(batch: pa.RecordBatch, j: int, prefix: str):

@@ -216,3 +216,4 @@ def match_stats_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # the remaining registrations live in sibling modules (imported for their side effect)
 from vecbench.plans import registry_tables  # noqa: E402,F401
+from vecbench.plans import registry_tasks  # noqa: E402,F401
