@@ -17,11 +17,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vecbench.functions.hashing import content_key, hash_vector
 from vecbench.functions.vectors import EPS, normalize, scale
 
 Encoder = Callable[[list], "np.ndarray"]
+VEC = T.ArrayType(T.DoubleType())
 
 
 def _with_retry(fn: Encoder, batch: list, retries: int, backoff: float):
@@ -45,7 +47,7 @@ def encode(df: DataFrame, encoder: Encoder | Callable[[], Encoder], column: str,
     inputs give NULL vectors. Row order and identity are kept by Spark, not
     by list positions.
     """
-    schema = df.schema.add(out, "array<double>")
+    schema = T.StructType(list(df.schema.fields) + [T.StructField(out, VEC)])
 
     def run(batches):
         fn = encoder() if factory else encoder
@@ -92,8 +94,7 @@ def adapt_linear(df: DataFrame, column: str, matrix: np.ndarray, out: str | None
     """
     out = out or column
     m = np.asarray(matrix, dtype=np.float64)
-    schema = df.drop(out).schema.add(out, "array<double>") if out in df.columns else \
-        df.schema.add(out, "array<double>")
+    schema = T.StructType([f for f in df.schema.fields if f.name != out] + [T.StructField(out, VEC)])
     cols = [c for c in df.columns if c != out] + [out]
 
     def run(batches):
