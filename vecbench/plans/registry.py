@@ -52,7 +52,7 @@ items AS (
 
 # slerp of (t, i) under every weight of the grid, written the direct way:
 # normalise, interpolate, renormalise.
-SQL_FUSED = SQL_ITEMS + """,
+SQL_FUSE_STEPS = """
 weights AS (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0]) AS w),
 unit AS (
   SELECT row_id, id,
@@ -83,6 +83,7 @@ fused AS (
               WHEN w >= 1 THEN b
               ELSE list_transform(r, lambda x: x / (sqrt(list_dot_product(r, r)) + 1e-8)) END AS v
   FROM raw)"""
+SQL_FUSED = SQL_ITEMS + "," + SQL_FUSE_STEPS
 
 SQL_GRID_HITS = SQL_FUSED + """,
 scored AS (
@@ -217,3 +218,4 @@ def match_stats_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 # the remaining registrations live in sibling modules (imported for their side effect)
 from vecbench.plans import registry_tables  # noqa: E402,F401
 from vecbench.plans import registry_tasks  # noqa: E402,F401
+from vecbench.plans import registry_bench  # noqa: E402,F401
