@@ -62,3 +62,14 @@ def test_parse_and_normalize(spark):
 ])
 def test_repair_vector_string(spark, raw, expected):
     assert _one(spark, repair_vector_string("s"), schema="s string", row=(raw,)) == expected
+
+
+def test_round_floats_and_default_vector(spark):
+    from vecbench.functions.vectors import round_floats, with_default_vector
+    df = spark.createDataFrame([(1.23456, {"a": 2.345}, (3.14159, [1.005, 2.0]))],
+                               "x double, m map<string,double>, s struct<p:double, q:array<double>>")
+    r = round_floats(df, 2).first()
+    assert r.x == 1.23 and r.m == {"a": 2.35} and r.s.p == 3.14 and r.s.q[1] == 2.0
+    d = spark.createDataFrame([(1, None), (2, [1.0, 2.0, 3.0])], "id int, v array<double>")
+    got = {x.id: x.v for x in with_default_vector(d, "v", 3).collect()}
+    assert got[1] == [0.0, 0.0, 0.0] and got[2] == [1.0, 2.0, 3.0]

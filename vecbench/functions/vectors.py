@@ -126,3 +126,27 @@ def zero_vector(dim: Column | int) -> Column:
 def is_nonzero(a: str | Column) -> Column:
     """True when at least one element is non-zero (drops zero placeholders)."""
     return F.exists(_c(a), lambda x: x != 0)
+
+
+def with_default_vector(df: DataFrame, col: str, dim: int | Column) -> DataFrame:
+    """A missing vector (e.g. an image that could not be encoded) becomes zeros of ``dim``."""
+    return df.withColumn(col, F.coalesce(F.col(col), zero_vector(dim)))
+
+
+def round_floats(df: DataFrame, digits: int = 2) -> DataFrame:
+    """Round every float/double in the frame to ``digits``, inside structs,
+    arrays and map values too (driven by the schema, one projection)."""
+    from pyspark.sql import types as T
+
+    def rnd(c: Column, t: T.DataType) -> Column:
+        if isinstance(t, (T.FloatType, T.DoubleType)):
+            return F.round(c, digits)
+        if isinstance(t, T.StructType):
+            return F.struct(*[rnd(c[f.name], f.dataType).alias(f.name) for f in t.fields])
+        if isinstance(t, T.ArrayType):
+            return F.transform(c, lambda x: rnd(x, t.elementType))
+        if isinstance(t, T.MapType):
+            return F.transform_values(c, lambda k, v: rnd(v, t.valueType))
+        return c
+
+    return df.select(*[rnd(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])

@@ -234,3 +234,14 @@ def topk_search(queries: DataFrame, items: DataFrame, k: int = 10, *, vector: st
     hits = grid_search(queries, items, k, alphas=(0.0,), betas=(0.0,), key=key, row_id=row_id,
                        text=vector, image=None, exclude_self=exclude_self, **kw)
     return hits.drop("alpha", "beta") if key else hits.drop("alpha", "beta", "rel")
+
+
+def retrieve_top_k(query: DataFrame, items: DataFrame, alpha: float, beta: float, k: int = 50,
+                   **kw) -> DataFrame:
+    """top-``k`` items for the given query row(s) at one (alpha, beta), best first.
+
+    The fused catalog is derived inside the search (never stored per call);
+    the result is ordered by rank, so ``.collect()`` gives the ranked list.
+    """
+    h = grid_search(query, items, k, alphas=(alpha,), betas=(beta,), **kw)
+    return h.orderBy("query_row", "rank")

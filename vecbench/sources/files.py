@@ -165,3 +165,9 @@ def repair_csv(spark: SparkSession, src: str, dst: str, *, rename: dict[str, str
     (df.write.mode("overwrite").option("header", True).option("escape", '"').option("quote", '"')
        .csv(dst))
     return df
+
+
+def read_vectors(spark: SparkSession, path: str, vector: str = "vector") -> DataFrame:
+    """A stored vector table without its all-zero placeholder rows."""
+    from vecbench.functions.vectors import is_nonzero
+    return spark.read.parquet(path).where(is_nonzero(F.col(vector)))
