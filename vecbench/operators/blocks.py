@@ -62,7 +62,7 @@ def _emit(part: int, seq: int, grp, row_ids, keys, t, ht, dt, im, hi, di) -> pa.
     })
 
 
-def _pack_partition(block_rows: int, grouped: bool):
+def _pack_partition(block_rows: int, grouped: bool, whole: bool = False):
     def pack(batches):
         part = TaskContext.get().partitionId()
         seq = 0
@@ -92,6 +92,15 @@ def _pack_partition(block_rows: int, grouped: bool):
             else:
                 pieces = [(None, tbl)]
             for grp, piece in pieces:
+                if whole:
+                    # groups are kept whole: close the block before a group that would overflow it
+                    if buf and grp != cur and held + piece.num_rows > block_rows:
+                        yield flush(pa.concat_tables(buf), cur)
+                        buf, held = [], 0
+                    cur = grp
+                    buf.append(piece)
+                    held += piece.num_rows
+                    continue
                 if buf and grp != cur:
                     yield flush(pa.concat_tables(buf), cur)
                     buf, held = [], 0
@@ -99,9 +108,9 @@ def _pack_partition(block_rows: int, grouped: bool):
                 buf.append(piece)
                 held += piece.num_rows
                 while held >= block_rows:
-                    whole = pa.concat_tables(buf)
-                    yield flush(whole.slice(0, block_rows), cur)
-                    rest = whole.slice(block_rows)
+                    joined = pa.concat_tables(buf)
+                    yield flush(joined.slice(0, block_rows), cur)
+                    rest = joined.slice(block_rows)
                     buf, held = ([rest] if rest.num_rows else []), rest.num_rows
         if held:
             yield flush(pa.concat_tables(buf), cur)
@@ -110,12 +119,16 @@ def _pack_partition(block_rows: int, grouped: bool):
 
 def pack_blocks(df: DataFrame, block_rows: int, *, row_id: str = "row_id", key: str | None = "id",
                 text: str = "text_embedding", image: str | None = "image_embedding",
-                group: str | None = None) -> DataFrame:
+                group: str | None = None, whole_groups: bool = False,
+                partitions: int | None = None) -> DataFrame:
     """Pack each partition of ``df`` into blocks of at most ``block_rows`` rows.
 
     With ``group`` (a bigint column) the rows are hash-partitioned and sorted
     by it first, and a block never mixes two groups; the block's ``grp`` is
-    the join key of grouped searches (IVF cells).
+    the join key of grouped searches (IVF cells). With ``whole_groups`` a
+    block instead holds several complete groups (a group larger than
+    ``block_rows`` is one block of its own), so no group is split across
+    blocks; ``partitions`` sets the number of hash partitions.
     """
     cols = [F.col(row_id).cast("bigint").alias("row_id"),
             (F.col(key).cast("string") if key else F.lit(None).cast("string")).alias("key"),
@@ -126,8 +139,9 @@ def pack_blocks(df: DataFrame, block_rows: int, *, row_id: str = "row_id", key:
         cols.append(F.col(group).cast("bigint").alias("grp"))
     src = df.select(*cols).where(F.col("t").isNotNull() | F.col("i").isNotNull())
     if group:
-        src = src.repartition("grp").sortWithinPartitions("grp")
-    return src.mapInArrow(_pack_partition(block_rows, bool(group)), BLOCK_SCHEMA)
+        src = (src.repartition(partitions, "grp") if partitions else src.repartition("grp"))
+        src = src.sortWithinPartitions("grp", "row_id")
+    return src.mapInArrow(_pack_partition(block_rows, bool(group), whole_groups), BLOCK_SCHEMA)
 
 
 def unpack(batch: pa.RecordBatch, j: int, prefix: str):

@@ -148,6 +148,28 @@ def broadcast_limit_bytes(spark) -> int:
     return max(v, 8 << 20) if v > 0 else 0
 
 
+def pair_blocks(qb: DataFrame, cb: DataFrame, nqp: int, ncp: int, q_bytes: int, c_bytes: int,
+                limit: int) -> DataFrame:
+    """Every query block with every catalog block, as an equi-join on a partition key.
+
+    ``q_`` blocks come from ``nqp`` partitions, ``c_`` blocks from ``ncp``.
+    The side whose estimated size is within ``limit`` is broadcast and the
+    other side's blocks are replicated (narrowly, by ``explode``) once per
+    partition of the broadcast side, so the large side is never shuffled.
+    With neither side bounded, the smaller side is replicated across the
+    partitions of the larger and both are hash-shuffled on that key.
+    """
+    def rep(side: DataFrame, n: int) -> DataFrame:
+        return side.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    if c_bytes <= limit:
+        return rep(qb, ncp).join(F.broadcast(cb.withColumnRenamed("c_part", "_p")), "_p")
+    if q_bytes <= limit:
+        return rep(cb, nqp).join(F.broadcast(qb.withColumnRenamed("q_part", "_p")), "_p")
+    if q_bytes <= c_bytes:
+        return rep(qb, ncp).join(cb.withColumnRenamed("c_part", "_p"), "_p")
+    return rep(cb, nqp).join(qb.withColumnRenamed("q_part", "_p"), "_p")
+
+
 def grid_search(queries: DataFrame, items: DataFrame, k: int = max(DEFAULT_KS), *,
                 alphas: Sequence[float] = DEFAULT_WEIGHTS, betas: Sequence[float] = DEFAULT_WEIGHTS,
                 key: str | None = "id", row_id: str = "row_id",
@@ -203,18 +225,7 @@ def grid_search(queries: DataFrame, items: DataFrame, k: int = max(DEFAULT_KS),
     qb = prefixed(pack_blocks(qry, qrows, row_id=row_id, key=key, text=text, image=image), "q_")
     cb = prefixed(pack_blocks(cat, c_block_rows, row_id=row_id, key=key, text=text, image=image), "c_")
 
-    if c_bytes <= limit:
-        pairs = (qb.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(ncp - 1))))
-                   .join(F.broadcast(cb.withColumnRenamed("c_part", "_p")), "_p"))
-    elif q_bytes <= limit:
-        pairs = (cb.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(nqp - 1))))
-                   .join(F.broadcast(qb.withColumnRenamed("q_part", "_p")), "_p"))
-    elif q_bytes <= c_bytes:
-        pairs = (qb.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(ncp - 1))))
-                   .join(cb.withColumnRenamed("c_part", "_p"), "_p"))
-    else:
-        pairs = (cb.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(nqp - 1))))
-                   .join(qb.withColumnRenamed("q_part", "_p"), "_p"))
+    pairs = pair_blocks(qb, cb, nqp, ncp, q_bytes, c_bytes, limit)
 
     hits = pairs.mapInArrow(
         _pair_search(alphas, betas, k, exclude_self, keep_keys,

@@ -274,3 +274,28 @@ def kmeans_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("v"))
     _, assigned = T.kmeans_assign(e, "v", 10)
     return T.v_measure(assigned, "label", "cluster").select(_r("homogeneity"), _r("completeness"), _r("v_measure"))
+
+
+@register("late_interaction", r"""
+WITH w AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws
+           FROM benchmark),
+t AS (SELECT item_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS j FROM w),
+vocab AS (SELECT DISTINCT word FROM t),
+z AS (SELECT word, i,
+             sqrt(-2.0 * ln((CAST(('0x' || substr(md5(md5('tok' || word) || '#' || CAST(i AS VARCHAR)), 1, 8)) AS BIGINT) + 1.0) / 4294967297.0))
+             * cos(2 * pi() * CAST(('0x' || substr(md5(md5('tok' || word) || '#' || CAST(i AS VARCHAR)), 9, 8)) AS BIGINT) / 4294967296.0) AS z
+      FROM vocab, range(0, 8) r(i)),
+raw AS (SELECT word, list(z ORDER BY i) AS r FROM z GROUP BY word),
+vec AS (SELECT word, list_transform(r, lambda x: x / (sqrt(list_dot_product(r, r)) + 1e-8)) AS v FROM raw),
+tv AS (SELECT item_id, j, v FROM t JOIN vec USING (word)),
+m AS (SELECT q.item_id AS query_row, q.j, d.item_id AS item_row, max(list_dot_product(q.v, d.v)) AS mx
+      FROM tv q JOIN tv d ON q.item_id <> d.item_id GROUP BY q.item_id, q.j, d.item_id),
+s AS (SELECT query_row, item_row, sum(mx) AS score FROM m GROUP BY query_row, item_row),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_row ORDER BY round(score, 9) DESC, item_row) AS rank FROM s)
+SELECT query_row, rank, item_row, round(score, 6) AS score FROM r WHERE rank <= 5""")
+def late_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MaxSim over word-token hash vectors of whole benchmark texts; top-5 per text."""
+    from vecbench.operators.late import maxsim_search, token_table
+    toks = token_table(read(spark, sf_dir, "benchmark"), "item_id", "text")
+    h = maxsim_search(toks, toks, 5, exclude_self=True)
+    return h.select(F.col("query_id").alias("query_row"), "rank", F.col("doc_id").alias("item_row"), _r("score"))
