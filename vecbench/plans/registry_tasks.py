@@ -299,3 +299,13 @@ def late_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     toks = token_table(read(spark, sf_dir, "benchmark"), "item_id", "text")
     h = maxsim_search(toks, toks, 5, exclude_self=True)
     return h.select(F.col("query_id").alias("query_row"), "rank", F.col("doc_id").alias("item_row"), _r("score"))
+
+
+@register("lsh_topk")
+def lsh_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """approximate top-10 from SimHash cells (own code + one-bit flips), exact inside."""
+    from vecbench.operators.ann import lsh_search
+    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"),
+                                                  F.col("embedding").cast("array<double>").alias("v"))
+    h = lsh_search(e, e, 10, vector="v", exclude_self=True)
+    return h.select("query_row", "rank", "item_row", _r("score"))
