@@ -207,20 +207,26 @@ def grid_search(queries: DataFrame, items: DataFrame, k: int = max(DEFAULT_KS),
     q_bytes = nq * (width * 8 + 64)
     tasks = target_tasks or spark.sparkContext.defaultParallelism * 2
 
+    # The catalog is packed where it lies (no shuffle of the catalog vectors):
+    # tiny partitions are merged narrowly, one block's worth is one partition.
     single_catalog_block = nc <= c_block_rows
     if single_catalog_block:
-        cat = items.coalesce(1)
-        ncp = 1
+        cat, ncp = items.coalesce(1), 1
     else:
-        ncp = max(1, math.ceil(nc / c_block_rows))
-        cat = items.repartition(ncp, row_id)
+        natural = items.rdd.getNumPartitions()
+        wanted = max(1, math.ceil(nc / c_block_rows))
+        cat, ncp = (items.coalesce(wanted), wanted) if natural > wanted else (items, natural)
+    # Queries: keep their partitions when they already give enough parallel
+    # block pairs; otherwise spread them (a shuffle of the query side only).
+    want_q = max(1, math.ceil(nq / q_block_rows))
     if c_bytes <= limit:
-        # catalog bounded: stream queries, parallel over query blocks
-        nqp = max(1, min(max(tasks // ncp, 1), nq), math.ceil(nq / q_block_rows))
+        want_q = max(want_q, min(max(tasks // ncp, 1), nq))
+    q_natural = queries.rdd.getNumPartitions()
+    if q_natural >= want_q:
+        qry, nqp = queries, q_natural
     else:
-        nqp = max(1, math.ceil(nq / q_block_rows))
+        qry, nqp = queries.repartition(want_q, row_id), want_q
     qrows = min(q_block_rows, max(1, math.ceil(nq / nqp)))
-    qry = queries.repartition(nqp, row_id)
 
     qb = prefixed(pack_blocks(qry, qrows, row_id=row_id, key=key, text=text, image=image), "q_")
     cb = prefixed(pack_blocks(cat, c_block_rows, row_id=row_id, key=key, text=text, image=image), "c_")
