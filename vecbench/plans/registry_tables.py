@@ -468,3 +468,48 @@ def unpivot_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Url and html of every page as documents, seeded order, batches of 512."""
     u = unpivot_documents(read(spark, sf_dir, "pages"), "page_id", ["url", "html"], None)
     return u.select("page_id", "field", "position", "batch")
+
+
+# ------------------------------------------------------------- instruction retrieval
+def _turns(spark: SparkSession, sf_dir: str, role: str) -> DataFrame:
+    c = read(spark, sf_dir, "conversations").where(F.col("role") == role)
+    prompted = with_prompt("text", resolve_prompt(PROMPTS, "conversations", "Retrieval", F.col("role")))
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"),
+                    F.col("conv_id").cast("string").alias("id"), hash_vector(prompted, HASH_DIM).alias("v"))
+
+
+@register("instruction_retrieval", f"""
+WITH t AS (SELECT conv_id * 1000 + turn AS row_id, conv_id, role,
+                  md5('text' || CASE role WHEN 'user' THEN 'Represent the question: ' ELSE 'passage: ' END || text) AS h
+           FROM conversations WHERE role IN ('user', 'assistant')),
+z AS (SELECT row_id, i,
+             sqrt(-2.0 * ln((CAST(('0x' || substr(md5(h || '#' || CAST(i AS VARCHAR)), 1, 8)) AS BIGINT) + 1.0) / 4294967297.0))
+             * cos(2 * pi() * CAST(('0x' || substr(md5(h || '#' || CAST(i AS VARCHAR)), 9, 8)) AS BIGINT) / 4294967296.0) AS z
+      FROM t, range(0, {HASH_DIM}) r(i)),
+raw AS (SELECT row_id, list(z ORDER BY i) AS r FROM z GROUP BY row_id),
+v AS (SELECT t.row_id, conv_id, role, list_transform(r, lambda x: x / (sqrt(list_dot_product(r, r)) + 1e-8)) AS v
+      FROM raw JOIN t USING (row_id)),
+q AS (SELECT * FROM v WHERE role = 'user'), c AS (SELECT * FROM v WHERE role = 'assistant'),
+s AS (SELECT q.row_id AS query_row, q.conv_id AS qc, c.row_id AS item_row, c.conv_id AS ic,
+             list_dot_product(q.v, c.v) AS score FROM q, c),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_row ORDER BY round(score, 9) DESC, item_row) AS rank FROM s),
+info AS (SELECT q.row_id AS query_row, (SELECT count(*) FROM c WHERE c.conv_id = q.conv_id) AS n_rel,
+                (SELECT count(*) FROM c) AS n_cand FROM q),
+ks AS (SELECT unnest([1, 5, 10]) AS k),
+d AS (SELECT info.query_row, ks.k, n_rel, n_cand,
+             coalesce(sum(CASE WHEN r.rank <= ks.k AND r.qc = r.ic THEN 1.0 / log2(r.rank + 1) END), 0) AS dcg
+      FROM info CROSS JOIN ks LEFT JOIN r ON r.query_row = info.query_row AND r.rank <= 10
+      GROUP BY info.query_row, ks.k, n_rel, n_cand),
+nd AS (SELECT k, CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0.0 END AS ndcg FROM (
+         SELECT k, dcg, coalesce(list_sum(list_transform(range(1, least(n_rel, least(k, n_cand)) + 1),
+                                                         lambda i: 1.0 / log2(i + 1))), 0) AS idcg FROM d))
+SELECT k, round(avg(ndcg), 6) AS ndcg_mean, round(stddev_pop(ndcg), 6) AS ndcg_std, count(*) AS n_queries
+FROM nd GROUP BY k""")
+def instruction_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns with an instruction prompt retrieve assistant turns of their
+    conversation (hash-encoded whole prompted texts): NDCG@{1,5,10}."""
+    from vecbench.plans.evaluate import evaluate_dataset
+    q, c = _turns(spark, sf_dir, "user"), _turns(spark, sf_dir, "assistant")
+    ev = evaluate_dataset(q, c, dataset="conversations", encoder="hash16", alphas=(0.0,), betas=(0.0,),
+                          ks=(1, 5, 10), text="v", image=None)
+    return ev.metrics.select("k", _r("mean", "ndcg_mean"), _r("std", "ndcg_std"), "n_queries")
