@@ -65,20 +65,27 @@ def slerp(v1: str | Column, v2: str | Column, t: str | float | Column,
     a = F.col(v1) if isinstance(v1, str) else v1
     b = F.col(v2) if isinstance(v2, str) else v2
     tc = (F.col(t) if isinstance(t, str) else t if isinstance(t, Column) else F.lit(float(t)))
-    scalars = F.struct(F.sqrt(sumsq(a)).alias("nt"), F.sqrt(sumsq(b)).alias("ni"),
-                       dot(a, b).alias("ti"), tc.cast("double").alias("t"))
 
-    def with_scalars(s):
-        u1, u2 = _coefficients(s["nt"], s["ni"], s["ti"], s["t"], eps)
-        mixed = bind(F.struct(u1.alias("u1"), u2.alias("u2")),
-                     lambda u: F.zip_with(a, b, lambda x, y: x * u["u1"] + y * u["u2"]))
-        return (F.when(s["t"] <= 0, bind(u1, lambda c: F.transform(a, lambda x: x * c)))
-                 .when(s["t"] >= 1, bind(u2, lambda c: F.transform(b, lambda y: y * c)))
-                 .otherwise(mixed))
+    def with_inputs(p):
+        va, vb, vt = p["a"], p["b"], p["t"]
+        scalars = F.struct(F.sqrt(sumsq(va)).alias("nt"), F.sqrt(sumsq(vb)).alias("ni"),
+                           dot(va, vb).alias("ti"), vt.alias("t"))
 
+        def with_scalars(s):
+            u1, u2 = _coefficients(s["nt"], s["ni"], s["ti"], s["t"], eps)
+            mixed = bind(F.struct(u1.alias("u1"), u2.alias("u2")),
+                         lambda u: F.zip_with(va, vb, lambda x, y: x * u["u1"] + y * u["u2"]))
+            return (F.when(s["t"] <= 0, bind(u1, lambda c: F.transform(va, lambda x: x * c)))
+                     .when(s["t"] >= 1, bind(u2, lambda c: F.transform(vb, lambda y: y * c)))
+                     .otherwise(mixed))
+
+        return bind(scalars, with_scalars)
+
+    # inputs, then per-row scalars, are bound once per row
+    inputs = F.struct(a.alias("a"), b.alias("b"), tc.cast("double").alias("t"))
     return (F.when(a.isNull(), b)
              .when(b.isNull(), a)
-             .otherwise(bind(scalars, with_scalars)))
+             .otherwise(bind(inputs, with_inputs)))
 
 
 def with_slerp(df: DataFrame, v1: str, v2: str, t: str | float, out: str = "fused",

@@ -57,8 +57,9 @@ def bind(value: Column, body) -> Column:
 
 def normalize(a: str | Column, eps: float = EPS) -> Column:
     """``v / (||v|| + eps)``; ``eps=0`` gives the plain unit vector."""
-    a = _c(a)
-    return bind(norm(a) + F.lit(eps), lambda n: F.transform(a, lambda x: x / n))
+    # the input is bound too: an expression input (e.g. a generated vector) is
+    # evaluated once, not once for the norm and again for the division
+    return bind(_c(a), lambda v: bind(norm(v) + F.lit(eps), lambda n: F.transform(v, lambda x: x / n)))
 
 
 def scale(a: str | Column, factor: float | Column) -> Column:
