@@ -120,7 +120,7 @@ def _pack_partition(block_rows: int, grouped: bool, whole: bool = False):
 def pack_blocks(df: DataFrame, block_rows: int, *, row_id: str = "row_id", key: str | None = "id",
                 text: str = "text_embedding", image: str | None = "image_embedding",
                 group: str | None = None, whole_groups: bool = False,
-                partitions: int | None = None) -> DataFrame:
+                partitions: int | None = None, pre_grouped: bool = False) -> DataFrame:
     """Pack each partition of ``df`` into blocks of at most ``block_rows`` rows.
 
     With ``group`` (a bigint column) the rows are hash-partitioned and sorted
@@ -129,6 +129,8 @@ def pack_blocks(df: DataFrame, block_rows: int, *, row_id: str = "row_id", key:
     block instead holds several complete groups (a group larger than
     ``block_rows`` is one block of its own), so no group is split across
     blocks; ``partitions`` sets the number of hash partitions.
+    ``pre_grouped`` says each group's rows are already adjacent inside one
+    partition (e.g. the tokens one ``posexplode`` made), so no shuffle is needed.
     """
     cols = [F.col(row_id).cast("bigint").alias("row_id"),
             (F.col(key).cast("string") if key else F.lit(None).cast("string")).alias("key"),
@@ -138,7 +140,7 @@ def pack_blocks(df: DataFrame, block_rows: int, *, row_id: str = "row_id", key:
     if group:
         cols.append(F.col(group).cast("bigint").alias("grp"))
     src = df.select(*cols).where(F.col("t").isNotNull() | F.col("i").isNotNull())
-    if group:
+    if group and not pre_grouped:
         src = (src.repartition(partitions, "grp") if partitions else src.repartition("grp"))
         src = src.sortWithinPartitions("grp", "row_id")
     return src.mapInArrow(_pack_partition(block_rows, bool(group), whole_groups), BLOCK_SCHEMA)

@@ -85,13 +85,17 @@ def maxsim_search(query_tokens: DataFrame, doc_tokens: DataFrame, k: int = 10, *
     if n_doc_tok == 0 or n_q_tok == 0:
         return spark.createDataFrame([], MAXSIM_SCHEMA)
     limit = broadcast_limit_bytes(spark) if broadcast_bytes is None else broadcast_bytes
-    ncp = max(1, math.ceil(n_doc_tok / corpus_chunk_rows))
-    nqp = max(spark.sparkContext.defaultParallelism, math.ceil(n_q_tok / query_chunk_rows))
     tok_bytes = dim * 8 + 64
-    cb = prefixed(pack_blocks(doc_tokens, corpus_chunk_rows, key="text_id", text="v", image=None,
-                              group="text_id", whole_groups=True, partitions=ncp), "c_")
-    qb = prefixed(pack_blocks(query_tokens, query_chunk_rows, key="text_id", text="v", image=None,
-                              group="text_id", whole_groups=True, partitions=nqp), "q_")
+    ncp = max(1, math.ceil(n_doc_tok * tok_bytes / (128 << 20)))
+    nqp = max(spark.sparkContext.defaultParallelism, math.ceil(n_q_tok * tok_bytes / (128 << 20)))
+    # a text's tokens are adjacent in their partition (one posexplode), so the
+    # token tables are packed where they lie; coalesce only bounds the ids
+    cb = prefixed(pack_blocks(doc_tokens.coalesce(ncp), corpus_chunk_rows, key="text_id", text="v",
+                              image=None, group="text_id", whole_groups=True, pre_grouped=True), "c_")
+    q_in = (query_tokens.repartition(nqp, "text_id").sortWithinPartitions("text_id", "row_id")
+            if n_q_tok * (dim * 8 + 64) <= limit else query_tokens.coalesce(nqp))
+    qb = prefixed(pack_blocks(q_in, query_chunk_rows, key="text_id", text="v", image=None,
+                              group="text_id", whole_groups=True, pre_grouped=True), "q_")
     pairs = pair_blocks(qb, cb, nqp, ncp, n_q_tok * tok_bytes, n_doc_tok * tok_bytes, limit)
     hits = pairs.mapInArrow(_pair_maxsim(k, exclude_self), MAXSIM_SCHEMA)
     w = Window.partitionBy("query_id").orderBy(F.round("score", SCORE_DIGITS).desc(), F.col("doc_id"))

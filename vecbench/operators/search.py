@@ -177,7 +177,8 @@ def grid_search(queries: DataFrame, items: DataFrame, k: int = max(DEFAULT_KS),
                 exclude_self: bool = False, q_block_rows: int = 1024,
                 c_block_rows: int = 8192, broadcast_bytes: int | None = None,
                 target_tasks: int | None = None, keep_keys: bool = False,
-                relevant_only: bool = False, stats: dict | None = None) -> DataFrame:
+                relevant_only: bool = False, stats: dict | None = None,
+                partition_bytes: int = 128 << 20) -> DataFrame:
     """top-``k`` catalog items for every query and every (alpha, beta).
 
     ``alpha`` fuses the query's two modalities, ``beta`` the catalog's
@@ -207,25 +208,28 @@ def grid_search(queries: DataFrame, items: DataFrame, k: int = max(DEFAULT_KS),
     q_bytes = nq * (width * 8 + 64)
     tasks = target_tasks or spark.sparkContext.defaultParallelism * 2
 
-    # The catalog is packed where it lies (no shuffle of the catalog vectors):
-    # tiny partitions are merged narrowly, one block's worth is one partition.
+    # Partition counts are upper bounds fixed by narrow coalesces (no planning
+    # of the inputs' own partitioning, which under AQE could run their
+    # shuffles): block pairing keys on partition ids < ncp / nqp, so a bound
+    # is all it needs. The catalog is packed where it lies (never shuffled).
     single_catalog_block = nc <= c_block_rows
     if single_catalog_block:
         cat, ncp = items.coalesce(1), 1
     else:
-        natural = items.rdd.getNumPartitions()
-        wanted = max(1, math.ceil(nc / c_block_rows))
-        cat, ncp = (items.coalesce(wanted), wanted) if natural > wanted else (items, natural)
-    # Queries: keep their partitions when they already give enough parallel
-    # block pairs; otherwise spread them (a shuffle of the query side only).
-    want_q = max(1, math.ceil(nq / q_block_rows))
+        # partitions of about ``partition_bytes``, each packed into many blocks
+        ncp = max(1, math.ceil(c_bytes / partition_bytes))
+        cat = items.coalesce(ncp)
+    # Queries: enough partitions for parallel block pairs and at most
+    # ``partition_bytes`` of vectors each. A query side within the broadcast
+    # bound is cheap to move and is spread evenly; a larger one is only merged
+    # narrowly (it already comes in many file partitions).
+    want_q = max(1, math.ceil(q_bytes / partition_bytes))
     if c_bytes <= limit:
         want_q = max(want_q, min(max(tasks // ncp, 1), nq))
-    q_natural = queries.rdd.getNumPartitions()
-    if q_natural >= want_q:
-        qry, nqp = queries, q_natural
-    else:
+    if q_bytes <= limit:
         qry, nqp = queries.repartition(want_q, row_id), want_q
+    else:
+        qry, nqp = queries.coalesce(want_q), want_q
     qrows = min(q_block_rows, max(1, math.ceil(nq / nqp)))
 
     qb = prefixed(pack_blocks(qry, qrows, row_id=row_id, key=key, text=text, image=image), "q_")
