@@ -43,3 +43,16 @@ def test_task_filters(spark):
     assert names(filter_tasks(tasks, scripts=["Jpan"], types=["Retrieval"])) == ["C"]
     assert names(filter_tasks(tasks, modalities=["image"])) == ["B", "C"]
     assert names(filter_tasks(tasks, modalities=["image"], exclusive_modality=True)) == ["C"]
+
+
+def test_global_rank_with_hot_key(spark):
+    from vecbench.operators.catalogops import global_rank
+    rows = [("aa",)] * 50 + [("0f",), ("ff",), ("b1",)]
+    df = spark.createDataFrame(rows, "k string").repartition(5)
+    r = global_rank(df, "k", "pos", prefix=1, max_copies=7).collect()
+    pos = sorted(x.pos for x in r)
+    assert pos == list(range(1, 54))
+    by = {}
+    for x in r:
+        by.setdefault(x.k, []).append(x.pos)
+    assert by["0f"] == [1] and sorted(by["aa"]) == list(range(2, 52)) and by["b1"] == [52] and by["ff"] == [53]

@@ -97,26 +97,50 @@ def unpivot_documents(df: DataFrame, id_col: str, text_cols: Sequence[str], labe
     return out
 
 
-def global_rank(df: DataFrame, hex_key: str, out: str, prefix: int = 4) -> DataFrame:
+def global_rank(df: DataFrame, hex_key: str, out: str, prefix: int = 4,
+                max_copies: int = 1_000_000) -> DataFrame:
     """1-based position of every row in the order of a uniform hex key (e.g. md5).
 
-    Distributed: rows are bucketed on the first ``prefix`` hex digits
-    (16^prefix buckets of about n/16^prefix rows each, since the key is
-    uniform); bucket sizes are counted, turned into offsets over at most
-    16^prefix rows, and each row's position is its bucket offset plus its
-    rank inside the bucket. No step holds more than one bucket.
+    Distributed, and safe when one key has a huge number of copies:
+    1. distinct keys and their multiplicity (partial aggregation absorbs hot keys);
+    2. each key's first position: the distinct keys are bucketed on the first
+       ``prefix`` hex digits (uniform), bucket totals become offsets over at
+       most 16^prefix rows, and a running sum inside each bucket adds the rest;
+    3. copies of one key (indistinguishable, so any order) are numbered
+       inside the key; only when a key has more than ``max_copies`` copies are
+       they split into salted sub-groups of at most that size (the salted rows
+       are checkpointed once so both uses see the same salts), whose offsets
+       come from a running sum over the few sub-groups of that key.
+    No step holds more than one bucket or one sub-group.
     """
-    b = F.substring(F.col(hex_key), 1, prefix)
-    keyed = df.withColumn("_bucket", b)
-    sizes = keyed.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    offsets = sizes.withColumn(
-        "_off", F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)))
-    offsets = offsets.select("_bucket", F.coalesce("_off", F.lit(0)).alias("_off"))
-    within = F.row_number().over(Window.partitionBy("_bucket").orderBy(hex_key))
-    return (keyed.withColumn("_r", within)
-                 .join(F.broadcast(offsets), "_bucket")
-                 .withColumn(out, (F.col("_off") + F.col("_r")).cast("bigint"))
-                 .drop("_bucket", "_r", "_off"))
+    counts = df.groupBy(hex_key).agg(F.count("*").alias("_n"))
+    kc = counts.withColumn("_bucket", F.substring(F.col(hex_key), 1, prefix))
+    sizes = kc.groupBy("_bucket").agg(F.sum("_n").alias("_bn"))
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_bucket", F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy("_bucket").orderBy(hex_key).rowsBetween(Window.unboundedPreceding, -1)
+    starts = (kc.withColumn("_w", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+                .join(F.broadcast(offsets), "_bucket")
+                .select(hex_key, "_n", (F.col("_off") + F.col("_w")).alias("_start")))
+    keyed = df.join(starts, hex_key)
+    hottest = counts.agg(F.max("_n")).first()[0] or 0
+    if hottest <= max_copies:
+        # every key's copies fit one window partition: no salt needed
+        within = F.row_number().over(Window.partitionBy(hex_key).orderBy(hex_key))
+        return (keyed.withColumn(out, (F.col("_start") + within).cast("bigint"))
+                     .drop("_n", "_start"))
+    # Salts come from row ids, which must be identical in both uses below:
+    # the salted rows are written once to the shared checkpoint folder.
+    from vecbench.session import cut_lineage
+    keyed = cut_lineage(keyed.withColumn("_salt", F.pmod(F.monotonically_increasing_id(),
+                                                         F.ceil(F.col("_n") / max_copies).cast("bigint"))))
+    sub = keyed.groupBy(hex_key, "_salt").agg(F.count("*").alias("_sn"))
+    prev = Window.partitionBy(hex_key).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    sub = sub.select(hex_key, "_salt", F.coalesce(F.sum("_sn").over(prev), F.lit(0)).alias("_soff"))
+    within = F.row_number().over(Window.partitionBy(hex_key, "_salt").orderBy(hex_key))
+    return (keyed.join(sub, [hex_key, "_salt"])
+                 .withColumn(out, (F.col("_start") + F.col("_soff") + within).cast("bigint"))
+                 .drop("_n", "_start", "_salt", "_soff"))
 
 
 def crosstab(df: DataFrame, row: str, col: str, values: Sequence[str], *,
