@@ -90,12 +90,13 @@ def test_encoder_store_and_adapter(spark, scratch):
     a = incremental_encode(spark, df.where("text is not null"), store, encoder_name="len", config="v1",
                            dataset="d", side="catalog", key_cols=["text"], encode_fn=counted, vector_cols=["v"])
     assert a.where("v is null").count() == 0
-    more = spark.createDataFrame([(1, "a"), (4, "cccc")], "row_id bigint, text string")
+    more = spark.createDataFrame([(1, "a"), (4, "cccc"), (5, "cccc"), (6, "cccc")], "row_id bigint, text string")
     b = incremental_encode(spark, more, store, encoder_name="len", config="v1", dataset="d", side="catalog",
                            key_cols=["text"], encode_fn=counted, vector_cols=["v"])
     assert {r.row_id: r.v for r in b.collect()}[4] == [4.0, 1.0]
     stored = spark.read.parquet(store)
-    assert stored.count() == 3          # 'a' was not encoded twice
+    assert stored.count() == 3          # 'a' was not encoded twice, 'cccc' once for three copies
+    assert b.where("v is null").count() == 0
     del calls
     m = rotation_matrix(2, 1)
     rot = adapt_linear(spark.createDataFrame([(1, [3.0, 4.0])], "row_id bigint, v array<double>"), "v", m).first()

@@ -177,7 +177,9 @@ def incremental_encode(spark, df: DataFrame, path: str, *, encoder_name: str, co
                         & (F.col("dataset") == dataset) & (F.col("side") == side)))
     except Exception:  # noqa: BLE001 - no store yet
         store = None
-    todo = missing_rows(df, store, key_cols)
+    # one encoding per distinct content: copies of a text (which may be a large
+    # share of a corpus) are encoded once and stored once
+    todo = missing_rows(df, store, key_cols).dropDuplicates(["content_key"])
     new = encode_fn(todo).select("content_key", *vector_cols)
     (new.withColumn("encoder", F.lit(encoder_name)).withColumn("config_hash", chash_col)
         .withColumn("dataset", F.lit(dataset)).withColumn("side", F.lit(side))
