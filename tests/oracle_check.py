@@ -44,6 +44,10 @@ def canon(rows, cols):
     return sorted((tuple(norm(r[i]) for i in order) for r in rows), key=repr)
 
 
+SPARK_TO_DUCK = {"LongType()": "BIGINT", "IntegerType()": "INTEGER", "DoubleType()": "DOUBLE",
+                 "StringType()": "VARCHAR", "BooleanType()": "BOOLEAN"}
+
+
 def compare(spark, sf_dir, names=None):
     import __spark_entry__ as E
     qs, sql = E.queries(), E.oracle_sql()
@@ -55,6 +59,7 @@ def compare(spark, sf_dir, names=None):
             df = qs[name](spark, sf_dir)
             srows = [tuple(r) for r in df.collect()]
             scols = df.columns
+            stypes = {f.name: SPARK_TO_DUCK.get(repr(f.dataType), repr(f.dataType)) for f in df.schema.fields}
         except Exception as e:  # noqa: BLE001
             results[name] = ("SPARK-ERROR", repr(e)[:400])
             continue
@@ -64,14 +69,15 @@ def compare(spark, sf_dir, names=None):
             continue
         t0 = time.time()
         try:
-            cur = con.execute(sql[name])
-            drows = cur.fetchall()
-            dcols = [d[0] for d in cur.description]
+            rel = con.sql(sql[name])
+            dtypes = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+            drows = rel.fetchall()
+            dcols = list(rel.columns)
         except Exception as e:  # noqa: BLE001
             results[name] = ("SQL-ERROR", repr(e)[:400])
             continue
         td = time.time() - t0
-        ok_cols = sorted(scols) == sorted(dcols)
+        ok_cols = sorted(scols) == sorted(dcols) and stypes == dtypes
         a, b = canon(srows, scols), canon(drows, dcols)
         same = a == b
         detail = ""
@@ -80,7 +86,7 @@ def compare(spark, sf_dir, names=None):
             detail = f" only_spark={list(sa - sb)[:2]} only_sql={list(sb - sa)[:2]}"
         results[name] = ("OK" if (ok_cols and same) else "MISMATCH",
                          f"rows {len(srows)}/{len(drows)} cols_ok={ok_cols} spark {ts:.1f}s sql {td:.1f}s"
-                         + ("" if ok_cols else f" {sorted(scols)} vs {sorted(dcols)}") + detail)
+                         + ("" if ok_cols else f" {stypes} vs {dtypes}") + detail)
     return results
 
 

@@ -53,7 +53,7 @@ items AS (
 # slerp of (t, i) under every weight of the grid, written the direct way:
 # normalise, interpolate, renormalise.
 SQL_FUSE_STEPS = """
-weights AS (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0]) AS w),
+weights AS (SELECT unnest(CAST([0.0, 0.25, 0.5, 0.75, 1.0] AS DOUBLE[])) AS w),
 unit AS (
   SELECT row_id, id,
          list_transform(t, lambda x: x / (sqrt(list_dot_product(t, t)) + 1e-8)) AS a,
@@ -151,7 +151,7 @@ def grid_best_params(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("grid_topk_hits", SQL_GRID_HITS.lstrip().replace("items AS", "WITH items AS", 1) + """
-SELECT query_row, alpha, beta, rank, item_row, round(score, 6) AS score,
+SELECT query_row, alpha, beta, CAST(rank AS INTEGER) AS rank, item_row, round(score, 6) AS score,
        CAST(query_key = item_key AS DOUBLE) AS rel
 FROM ranked WHERE rank <= 10""")
 def grid_topk_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,7 +167,7 @@ s AS (SELECT q.vec_id AS query_row, c.vec_id AS item_row, list_dot_product(q.v,
       FROM e q JOIN e c ON q.vec_id <> c.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_row ORDER BY round(score, 9) DESC, item_row) AS rank
       FROM s)
-SELECT query_row, rank, item_row, round(score, 6) AS score FROM r WHERE rank <= 10""")
+SELECT query_row, CAST(rank AS INTEGER) AS rank, item_row, round(score, 6) AS score FROM r WHERE rank <= 10""")
 def flat_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact inner-product top-10 of the raw embeddings (flat search)."""
     e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), "embedding")

@@ -67,7 +67,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_row, alpha, beta
 
 # text_only: a missing modality leaves the other one raw, for every weight
 _TEXT = (SQL_ITEMS.lstrip() + """,
-weights AS (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0]) AS w),
+weights AS (SELECT unnest(CAST([0.0, 0.25, 0.5, 0.75, 1.0] AS DOUBLE[])) AS w),
 scored AS (SELECT q.row_id AS query_row, q.id AS query_key, a.w AS alpha, b.w AS beta,
                   c.row_id AS item_row, c.id AS item_key, list_dot_product(q.t, c.t) AS score
            FROM items q JOIN items c ON q.row_id <> c.row_id, weights a, weights b),

@@ -241,7 +241,7 @@ f AS (SELECT vec_id, list_transform(r, lambda x: x / (sqrt(list_dot_product(r, r
 second AS (SELECT first.query_row, first.item_row, list_dot_product(fq.v, fc.v) AS score
            FROM first JOIN f fq ON fq.vec_id = first.query_row JOIN f fc ON fc.vec_id = first.item_row),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_row ORDER BY round(score, 9) DESC, item_row) AS rank FROM second)
-SELECT query_row, rank, item_row, round(score, 6) AS score FROM ranked WHERE rank <= 10""")
+SELECT query_row, CAST(rank AS INTEGER) AS rank, item_row, round(score, 6) AS score FROM ranked WHERE rank <= 10""")
 def rerank_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top-50 by text vectors, re-scored with fused (0.5/0.5) vectors, top-10 kept."""
     from vecbench.operators.rerank import rerank
@@ -292,7 +292,7 @@ m AS (SELECT q.item_id AS query_row, q.j, d.item_id AS item_row, max(list_dot_pr
       FROM tv q JOIN tv d ON q.item_id <> d.item_id GROUP BY q.item_id, q.j, d.item_id),
 s AS (SELECT query_row, item_row, sum(mx) AS score FROM m GROUP BY query_row, item_row),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_row ORDER BY round(score, 9) DESC, item_row) AS rank FROM s)
-SELECT query_row, rank, item_row, round(score, 6) AS score FROM r WHERE rank <= 5""")
+SELECT query_row, CAST(rank AS INTEGER) AS rank, item_row, round(score, 6) AS score FROM r WHERE rank <= 5""")
 def late_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MaxSim over word-token hash vectors of whole benchmark texts; top-5 per text."""
     from vecbench.operators.late import maxsim_search, token_table
