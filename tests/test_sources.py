@@ -115,3 +115,21 @@ def test_stream_search(spark, scratch):
     q.awaitTermination(120)
     out = spark.read.parquet(sink)
     assert out.count() == 12 and out.select("query_row").distinct().count() == 6
+
+
+def test_encoder_retries_transient_failures(spark):
+    import os
+    import tempfile
+    marker = tempfile.mkdtemp(prefix="vb-retry-", dir="/tmp")
+
+    def flaky(texts):
+        # fails the first time it is called in each task, then succeeds
+        flag = os.path.join(marker, str(os.getpid()))
+        if not os.path.exists(flag):
+            open(flag, "w").close()
+            raise RuntimeError("transient")
+        return np.ones((len(texts), 2))
+
+    df = spark.createDataFrame([(i, f"t{i}") for i in range(10)], "row_id bigint, text string").coalesce(1)
+    out = encode(df, flaky, "text", "v", batch_size=4, retries=2, backoff=0.01).collect()
+    assert all(r.v == [1.0, 1.0] for r in out)

@@ -56,3 +56,15 @@ def test_global_rank_with_hot_key(spark):
     for x in r:
         by.setdefault(x.k, []).append(x.pos)
     assert by["0f"] == [1] and sorted(by["aa"]) == list(range(2, 52)) and by["b1"] == [52] and by["ff"] == [53]
+
+
+def test_crosstab_multilingual_and_folding(spark):
+    from vecbench.functions.text import fold_values
+    from vecbench.operators.catalogops import crosstab
+    tasks = spark.createDataFrame([(["eng", "fra"], "Retrieval"), (["eng"], "STS"), (["python"], "Retrieval")],
+                                  "languages array<string>, type string")
+    folded = tasks.withColumn("languages", F.transform("languages", lambda l: fold_values(l, ["python", "java"], "code")))
+    x = {r.languages: r for r in crosstab(folded, "languages", "type", ["Retrieval", "STS"], explode_array=True).collect()}
+    assert (x["eng"].Retrieval, x["eng"].STS, x["eng"].row_sum) == (1, 1, 2)
+    assert (x["fra"].Retrieval, x["code"].Retrieval) == (1, 1)
+    assert x["Total"].row_sum == 4
