@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from vecbench.functions.hashing import hash_vector
 from vecbench.operators.blocks import pack_blocks, prefixed, unpack
-from vecbench.operators.search import SCORE_DIGITS, _select_topk, broadcast_limit_bytes, pair_blocks
+from vecbench.operators.search import (SCORE_DIGITS, _select_topk, broadcast_limit_bytes, pair_blocks,
+                                       table_stats)
 
 TOKEN_SHIFT = 20
 MAXSIM_SCHEMA = "query_id bigint, doc_id bigint, rank int, score double"
@@ -79,9 +80,10 @@ def maxsim_search(query_tokens: DataFrame, doc_tokens: DataFrame, k: int = 10, *
                   query_chunk_rows: int = 4096, broadcast_bytes: int | None = None) -> DataFrame:
     """top-k documents per query by MaxSim. Inputs from :func:`token_table`."""
     spark = query_tokens.sparkSession
-    stats = doc_tokens.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
-    n_doc_tok, dim = int(stats[0]), int(stats[1] or 1)
-    n_q_tok = query_tokens.count()
+    # counts prune the token vectors away; the width comes from a few rows
+    n_doc_tok, dim = table_stats(doc_tokens, ["v"])
+    dim = max(dim, 1)
+    n_q_tok = n_doc_tok if query_tokens is doc_tokens else query_tokens.count()
     if n_doc_tok == 0 or n_q_tok == 0:
         return spark.createDataFrame([], MAXSIM_SCHEMA)
     limit = broadcast_limit_bytes(spark) if broadcast_bytes is None else broadcast_bytes

@@ -130,12 +130,20 @@ def _pair_search(alphas: Sequence[float], betas: Sequence[float], k: int, exclud
     return run
 
 
-def table_stats(df: DataFrame, cols: Sequence[str | None]) -> tuple[int, int]:
-    """(row count, summed vector width of the given columns) in one aggregate job."""
-    exprs = [F.count(F.lit(1)).alias("n")] + [
-        F.max(F.size(c)).alias(f"w{n}") for n, c in enumerate(cols) if c]
-    row = df.agg(*exprs).first()
-    return int(row[0]), int(sum(v or 0 for v in row[1:]))
+def table_stats(df: DataFrame, cols: Sequence[str | None], sample_rows: int = 64) -> tuple[int, int]:
+    """(row count, summed vector width of the given columns), for sizing only.
+
+    The count reads no vector data (Catalyst prunes it to row counts); the
+    width comes from a few rows, so sizing never adds a full pass over the
+    vectors.
+    """
+    n = df.count()
+    present = [c for c in cols if c]
+    if not n or not present:
+        return n, 0
+    rows = df.select(*[F.size(c).alias(f"w{i}") for i, c in enumerate(present)]).limit(sample_rows).collect()
+    width = max((sum(max(v, 0) for v in r if v is not None) for r in rows), default=0)
+    return n, int(width)
 
 
 def broadcast_limit_bytes(spark) -> int:
