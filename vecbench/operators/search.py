@@ -67,6 +67,19 @@ def _select_topk(S: np.ndarray, k: int):
     return rows, cols, rank
 
 
+_TYPES = {"query_row": pa.int64(), "alpha": pa.float64(), "beta": pa.float64(), "rank": pa.int32(),
+          "item_row": pa.int64(), "score": pa.float64(), "rel": pa.float64(),
+          "query_key": pa.string(), "item_key": pa.string()}
+
+
+def _batch(out: dict, names: list) -> pa.RecordBatch:
+    cols = {}
+    for n in names:
+        v = np.concatenate(out[n])
+        cols[n] = pa.array(v.tolist() if _TYPES[n] == pa.string() else v, _TYPES[n])
+    return pa.RecordBatch.from_pydict(cols)
+
+
 def _pair_search(alphas: Sequence[float], betas: Sequence[float], k: int, exclude_self: bool,
                  keep_keys: bool, relevant_only: bool = False):
     alphas = [float(a) for a in alphas]
@@ -89,20 +102,22 @@ def _pair_search(alphas: Sequence[float], betas: Sequence[float], k: int, exclud
                 crid, ckey, ct, cht, ci, chi = unpack(batch, j, "c_")
                 if len(qrid) == 0 or len(crid) == 0:
                     continue
-                cf = {b: fuse(ct, cht, ci, chi, b) for b in betas}
+                # queries fused once per alpha (a query block is small); the catalog
+                # block is fused for one beta at a time, so a task holds the raw
+                # block plus a single fused copy whatever the grid size
                 qf = {a: fuse(qt, qht, qi, qhi, a) for a in alphas}
-                for lo in range(0, len(qrid), ROW_CHUNK):
-                    hi_ = min(len(qrid), lo + ROW_CHUNK)
-                    self_mask = (qrid[lo:hi_, None] == crid[None, :]) if exclude_self else None
-                    names = ["query_row", "alpha", "beta", "rank", "item_row", "score", "rel"]
-                    if keep_keys:
-                        names += ["query_key", "item_key"]
-                    out = {n: [] for n in names}
-                    qk = qkey[lo:hi_]
-                    for a in alphas:
-                        Q = qf[a][lo:hi_]
-                        for b in betas:
-                            S = Q @ cf[b].T
+                names = ["query_row", "alpha", "beta", "rank", "item_row", "score", "rel"]
+                if keep_keys:
+                    names += ["query_key", "item_key"]
+                for b in betas:
+                    cfb = fuse(ct, cht, ci, chi, b)
+                    for lo in range(0, len(qrid), ROW_CHUNK):
+                        hi_ = min(len(qrid), lo + ROW_CHUNK)
+                        self_mask = (qrid[lo:hi_, None] == crid[None, :]) if exclude_self else None
+                        out = {n: [] for n in names}
+                        qk = qkey[lo:hi_]
+                        for a in alphas:
+                            S = qf[a][lo:hi_] @ cfb.T
                             if self_mask is not None:
                                 S = np.where(self_mask, -np.inf, S)
                             r, c, rank = _select_topk(S, k)
@@ -119,14 +134,7 @@ def _pair_search(alphas: Sequence[float], betas: Sequence[float], k: int, exclud
                             if keep_keys:
                                 out["query_key"].append(qk[r])
                                 out["item_key"].append(ckey[c])
-                    types = {"query_row": pa.int64(), "alpha": pa.float64(), "beta": pa.float64(),
-                             "rank": pa.int32(), "item_row": pa.int64(), "score": pa.float64(),
-                             "rel": pa.float64(), "query_key": pa.string(), "item_key": pa.string()}
-                    cols = {}
-                    for n in names:
-                        v = np.concatenate(out[n])
-                        cols[n] = pa.array(v.tolist() if types[n] == pa.string() else v, types[n])
-                    yield pa.RecordBatch.from_pydict(cols)
+                        yield _batch(out, names)
     return run
 
 
