@@ -83,3 +83,13 @@ def test_relevant_only_keeps_global_ranks(spark):
     a = {(r.query_row, r.rank, r.item_row) for r in full.where(F.col("rel") > 0).collect()}
     b = {(r.query_row, r.rank, r.item_row) for r in rel.collect()}
     assert a == b
+
+
+def test_retrieve_top_k_single_query(spark):
+    from vecbench.operators.search import retrieve_top_k
+    df, M, ids = make(spark, 15, 4, 9)
+    q = df.where("row_id = 1")
+    got = [(r.rank, r.item_row) for r in retrieve_top_k(q, df, 0.25, 0.75, k=5).collect()]
+    exp = sorted((r, c) for (qr, a, b, r, c, s) in brute(M, M, ids, ids, (0.25,), (0.75,), 5, False)
+                 if qr == 1)
+    assert got == exp
