@@ -38,7 +38,7 @@ HITS_SCHEMA = ("query_row bigint, alpha double, beta double, rank int, item_row
                "score double, rel double")
 HITS_KEYS_SCHEMA = HITS_SCHEMA + ", query_key string, item_key string"
 
-# Default grid of the evaluation (weights of the second modality).
+# The default grid of the evaluation (weights of the second modality) and cut-offs.
 DEFAULT_WEIGHTS = (0.0, 0.25, 0.5, 0.75, 1.0)
 DEFAULT_KS = (1, 5, 10, 50)
 SCORE_DIGITS = 9
