@@ -89,7 +89,19 @@ def test_retrieve_top_k_single_query(spark):
     from vecbench.operators.search import retrieve_top_k
     df, M, ids = make(spark, 15, 4, 9)
     q = df.where("row_id = 1")
-    got = [(r.rank, r.item_row) for r in retrieve_top_k(q, df, 0.25, 0.75, k=5).collect()]
+    got = [(r.rank, r.item_row) for r in retrieve_top_k(q, df, 0.25, 0.75, k=5, similarity="ip").collect()]
     exp = sorted((r, c) for (qr, a, b, r, c, s) in brute(M, M, ids, ids, (0.25,), (0.75,), 5, False)
                  if qr == 1)
     assert got == exp
+
+
+def test_cosine_similarity_option(spark):
+    from vecbench.operators.search import retrieve_top_k
+    # a raw (unfused, text-only) catalog of unequal lengths: cosine and inner product rank differently
+    rows = [(1, [1.0, 0.0]), (2, [10.0, 10.0]), (3, [0.9, 0.1])]
+    df = spark.createDataFrame(rows, "row_id bigint, text_embedding array<double>")
+    q = spark.createDataFrame([(9, [1.0, 0.0])], "row_id bigint, text_embedding array<double>")
+    cos = [r.item_row for r in retrieve_top_k(q, df, 0.0, 0.0, k=3, key=None, image=None).collect()]
+    ip = [r.item_row for r in retrieve_top_k(q, df, 0.0, 0.0, k=3, key=None, image=None,
+                                             similarity="ip").collect()]
+    assert cos == [1, 3, 2] and ip == [2, 1, 3]

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecbench.functions.slerp import slerp_np
+from vecbench.functions.vectors import EPS
 from vecbench.operators.blocks import pack_blocks, prefixed, unpack
 
 HITS_SCHEMA = ("query_row bigint, alpha double, beta double, rank int, item_row bigint, "
@@ -81,11 +82,18 @@ def _batch(out: dict, names: list) -> pa.RecordBatch:
 
 
 def _pair_search(alphas: Sequence[float], betas: Sequence[float], k: int, exclude_self: bool,
-                 keep_keys: bool, relevant_only: bool = False):
+                 keep_keys: bool, relevant_only: bool = False, similarity: str = "ip"):
     alphas = [float(a) for a in alphas]
     betas = [float(b) for b in betas]
+    cosine = similarity == "cosine"
 
     def fuse(t, ht, im, hi, w):
+        v = _fuse(t, ht, im, hi, w)
+        if cosine:  # both sides divided by (norm + eps) before the dot
+            v = v / (np.sqrt(np.einsum("ij,ij->i", v, v)) + EPS)[:, None]
+        return v
+
+    def _fuse(t, ht, im, hi, w):
         # a modality absent from the whole block: every row keeps the other one raw (F2)
         if im.shape[1] == 0:
             return t
@@ -194,7 +202,7 @@ def grid_search(queries: DataFrame, items: DataFrame, k: int = max(DEFAULT_KS),
                 c_block_rows: int = 8192, broadcast_bytes: int | None = None,
                 target_tasks: int | None = None, keep_keys: bool = False,
                 relevant_only: bool = False, stats: dict | None = None,
-                partition_bytes: int = 128 << 20) -> DataFrame:
+                partition_bytes: int = 128 << 20, similarity: str = "ip") -> DataFrame:
     """top-``k`` catalog items for every query and every (alpha, beta).
 
     ``alpha`` fuses the query's two modalities, ``beta`` the catalog's
@@ -205,6 +213,8 @@ def grid_search(queries: DataFrame, items: DataFrame, k: int = max(DEFAULT_KS),
     Returns ``query_row, alpha, beta, rank, item_row, score, rel`` where
     ``rel`` = 1.0 when the query's key equals the item's key (binary id
     relevance), plus ``query_key, item_key`` when ``keep_keys``.
+    ``similarity``: ``ip`` (inner product of the fused vectors, the engine's
+    flat index) or ``cosine`` (both normalised with the same epsilon first).
     ``relevant_only`` keeps only rows with ``rel = 1`` (ranks stay the ranks
     among all items); with one catalog block the filter runs inside the
     Arrow task, otherwise after the final rank window. Pass
@@ -255,7 +265,7 @@ def grid_search(queries: DataFrame, items: DataFrame, k: int = max(DEFAULT_KS),
 
     hits = pairs.mapInArrow(
         _pair_search(alphas, betas, k, exclude_self, keep_keys,
-                     relevant_only and single_catalog_block), schema)
+                     relevant_only and single_catalog_block, similarity), schema)
     if single_catalog_block:
         return hits
     w = Window.partitionBy("query_row", "alpha", "beta").orderBy(
@@ -274,11 +284,12 @@ def topk_search(queries: DataFrame, items: DataFrame, k: int = 10, *, vector: st
 
 
 def retrieve_top_k(query: DataFrame, items: DataFrame, alpha: float, beta: float, k: int = 50,
-                   **kw) -> DataFrame:
-    """top-``k`` items for the given query row(s) at one (alpha, beta), best first.
+                   similarity: str = "cosine", **kw) -> DataFrame:
+    """top-``k`` items for the given query row(s) at one (alpha, beta), best first,
+    by cosine of the fused vectors (F4) unless ``similarity="ip"``.
 
     The fused catalog is derived inside the search (never stored per call);
     the result is ordered by rank, so ``.collect()`` gives the ranked list.
     """
-    h = grid_search(query, items, k, alphas=(alpha,), betas=(beta,), **kw)
+    h = grid_search(query, items, k, alphas=(alpha,), betas=(beta,), similarity=similarity, **kw)
     return h.orderBy("query_row", "rank")
