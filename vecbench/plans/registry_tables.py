@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from vecbench.functions.hashing import config_hash, content_key, default_count, hash_vector
 from vecbench.functions.text import lookup, resolve_prompt, with_prompt
-from vecbench.functions.vectors import format_vector, parse_vector, repair_vector_string
+from vecbench.functions.vectors import bind, format_vector, parse_vector, repair_vector_string
 from vecbench.operators import compare as C
 from vecbench.operators.catalogops import crosstab, describe, filter_tasks, group_overview, unpivot_documents
 from vecbench.operators.points import long_to_records, rollup, violations
@@ -86,8 +86,9 @@ def vector_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _raw_vector_text(col):
     ints = F.transform(col, lambda x: F.round(x * 1e6).cast("bigint").cast("string"))
     # eight numbers per line, runs of spaces, wrapped in quotes: the multi-line export format
-    lines = F.transform(F.sequence(F.lit(0), F.floor((F.size(ints) - 1) / 8).cast("int")),
-                        lambda i: F.array_join(F.slice(ints, i * 8 + 1, 8), "  "))
+    # (the number list is bound once per row, not rebuilt for every line)
+    lines = bind(ints, lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / 8).cast("int")),
+                                             lambda i: F.array_join(F.slice(v, i * 8 + 1, 8), "  ")))
     return F.concat(F.lit('"['), F.array_join(lines, "\n "), F.lit(']"'))
 
 
