@@ -81,6 +81,8 @@ def test_encoder_store_and_adapter(spark, scratch):
 
     out = {r.row_id: r.v for r in encode(df, enc, "text", "v", batch_size=2).collect()}
     assert out[1] == [1.0, 1.0] and out[2] == [2.0, 1.0] and out[3] is None
+    again = encode(df.withColumn("v", F.lit(None).cast("array<double>")), enc, "text", "v")
+    assert again.columns == ["row_id", "text", "v"] and again.where("v is not null").count() == 2
     store = os.path.join(scratch, "store")
     calls = spark.sparkContext.accumulator(0)
 

@@ -47,7 +47,9 @@ def encode(df: DataFrame, encoder: Encoder | Callable[[], Encoder], column: str,
     inputs give NULL vectors. Row order and identity are kept by Spark, not
     by list positions.
     """
-    schema = T.StructType(list(df.schema.fields) + [T.StructField(out, VEC)])
+    # an existing ``out`` column is replaced (e.g. re-encoding ``text_embedding``)
+    schema = T.StructType([f for f in df.schema.fields if f.name != out] + [T.StructField(out, VEC)])
+    cols = [f.name for f in schema.fields]
 
     def run(batches):
         fn = encoder() if factory else encoder
@@ -61,7 +63,7 @@ def encode(df: DataFrame, encoder: Encoder | Callable[[], Encoder], column: str,
                 mat = _with_retry(fn, vals.iloc[part].tolist(), retries, backoff)
                 for j, row in zip(part, mat):
                     vecs[j] = row.tolist()
-            yield pdf.assign(**{out: pd.Series(vecs, index=pdf.index, dtype=object)})
+            yield pdf.assign(**{out: pd.Series(vecs, index=pdf.index, dtype=object)})[cols]
     return df.mapInPandas(run, schema)
 
 
