@@ -105,3 +105,14 @@ def test_cosine_similarity_option(spark):
     ip = [r.item_row for r in retrieve_top_k(q, df, 0.0, 0.0, k=3, key=None, image=None,
                                              similarity="ip").collect()]
     assert cos == [1, 3, 2] and ip == [2, 1, 3]
+
+
+def test_float32_products_agree_with_float64(spark):
+    df, M, ids = make(spark, 40, 16, 21)
+    a = grid_search(df, df, 5, alphas=(0.5,), betas=(0.5,), exclude_self=True).collect()
+    b = grid_search(df, df, 5, alphas=(0.5,), betas=(0.5,), exclude_self=True, precision="float32").collect()
+    sa = {(r.query_row, r.item_row) for r in a}
+    sb = {(r.query_row, r.item_row) for r in b}
+    assert len(sa & sb) / len(sa) >= 0.98
+    s64 = {(r.query_row, r.item_row): r.score for r in a}
+    assert max(abs(s64[key] - r.score) for r in b if (key := (r.query_row, r.item_row)) in s64) < 1e-5

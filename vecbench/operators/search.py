@@ -82,16 +82,19 @@ def _batch(out: dict, names: list) -> pa.RecordBatch:
 
 
 def _pair_search(alphas: Sequence[float], betas: Sequence[float], k: int, exclude_self: bool,
-                 keep_keys: bool, relevant_only: bool = False, similarity: str = "ip"):
+                 keep_keys: bool, relevant_only: bool = False, similarity: str = "ip",
+                 precision: str = "float64"):
     alphas = [float(a) for a in alphas]
     betas = [float(b) for b in betas]
     cosine = similarity == "cosine"
+    dtype = np.float32 if precision == "float32" else np.float64
 
     def fuse(t, ht, im, hi, w):
         v = _fuse(t, ht, im, hi, w)
         if cosine:  # both sides divided by (norm + eps) before the dot
             v = v / (np.sqrt(np.einsum("ij,ij->i", v, v)) + EPS)[:, None]
-        return v
+        # fusion always runs in float64; only the products may run in float32
+        return v.astype(dtype, copy=False)
 
     def _fuse(t, ht, im, hi, w):
         # a modality absent from the whole block: every row keeps the other one raw (F2)
@@ -125,7 +128,7 @@ def _pair_search(alphas: Sequence[float], betas: Sequence[float], k: int, exclud
                         out = {n: [] for n in names}
                         qk = qkey[lo:hi_]
                         for a in alphas:
-                            S = qf[a][lo:hi_] @ cfb.T
+                            S = (qf[a][lo:hi_] @ cfb.T).astype(np.float64, copy=False)
                             if self_mask is not None:
                                 S = np.where(self_mask, -np.inf, S)
                             r, c, rank = _select_topk(S, k)
@@ -202,7 +205,8 @@ def grid_search(queries: DataFrame, items: DataFrame, k: int = max(DEFAULT_KS),
                 c_block_rows: int = 8192, broadcast_bytes: int | None = None,
                 target_tasks: int | None = None, keep_keys: bool = False,
                 relevant_only: bool = False, stats: dict | None = None,
-                partition_bytes: int = 128 << 20, similarity: str = "ip") -> DataFrame:
+                partition_bytes: int = 128 << 20, similarity: str = "ip",
+                precision: str = "float64") -> DataFrame:
     """top-``k`` catalog items for every query and every (alpha, beta).
 
     ``alpha`` fuses the query's two modalities, ``beta`` the catalog's
@@ -215,6 +219,9 @@ def grid_search(queries: DataFrame, items: DataFrame, k: int = max(DEFAULT_KS),
     relevance), plus ``query_key, item_key`` when ``keep_keys``.
     ``similarity``: ``ip`` (inner product of the fused vectors, the engine's
     flat index) or ``cosine`` (both normalised with the same epsilon first).
+    ``precision="float32"`` runs the products in float32 (half the block
+    memory, about twice the BLAS speed, scores good to about 1e-7); the
+    default float64 gives scores identical to a double-precision reference.
     ``relevant_only`` keeps only rows with ``rel = 1`` (ranks stay the ranks
     among all items); with one catalog block the filter runs inside the
     Arrow task, otherwise after the final rank window. Pass
@@ -265,7 +272,7 @@ def grid_search(queries: DataFrame, items: DataFrame, k: int = max(DEFAULT_KS),
 
     hits = pairs.mapInArrow(
         _pair_search(alphas, betas, k, exclude_self, keep_keys,
-                     relevant_only and single_catalog_block, similarity), schema)
+                     relevant_only and single_catalog_block, similarity, precision), schema)
     if single_catalog_block:
         return hits
     w = Window.partitionBy("query_row", "alpha", "beta").orderBy(
