@@ -201,8 +201,8 @@ def grid_search(queries: DataFrame, items: DataFrame, k: int = max(DEFAULT_KS),
                 alphas: Sequence[float] = DEFAULT_WEIGHTS, betas: Sequence[float] = DEFAULT_WEIGHTS,
                 key: str | None = "id", row_id: str = "row_id",
                 text: str = "text_embedding", image: str | None = "image_embedding",
-                exclude_self: bool = False, q_block_rows: int = 1024,
-                c_block_rows: int = 8192, broadcast_bytes: int | None = None,
+                exclude_self: bool = False, q_block_rows: int | None = None,
+                c_block_rows: int | None = None, broadcast_bytes: int | None = None,
                 target_tasks: int | None = None, keep_keys: bool = False,
                 relevant_only: bool = False, stats: dict | None = None,
                 partition_bytes: int = 128 << 20, similarity: str = "ip",
@@ -237,6 +237,12 @@ def grid_search(queries: DataFrame, items: DataFrame, k: int = max(DEFAULT_KS),
         return spark.createDataFrame([], schema)
     limit = broadcast_limit_bytes(spark) if broadcast_bytes is None else broadcast_bytes
     width = max(width, 1)
+    # blocks are sized in bytes of raw vectors (both modalities): about 64 MB per
+    # catalog block and 8 MB per query block, within fixed row bounds
+    if c_block_rows is None:
+        c_block_rows = int(min(8192, max(512, (64 << 20) // (width * 8))))
+    if q_block_rows is None:
+        q_block_rows = int(min(1024, max(128, (8 << 20) // (width * 8))))
     c_bytes = nc * (width * 8 + 64)
     q_bytes = nq * (width * 8 + 64)
     tasks = target_tasks or spark.sparkContext.defaultParallelism * 2
