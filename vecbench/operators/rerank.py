@@ -4,6 +4,11 @@ First-stage hits keep their ``top_k`` best; each kept pair is re-scored
 with the inner product of second-stage vectors (joined by row id, so only
 the kept pairs are touched) and re-ranked per query. The re-rank window is
 bounded by ``top_k`` rows per query.
+
+Hub items (in many queries' first-stage lists) make ``item_row`` a hot join
+key on the hits side; the vector side has one row per item, so Catalyst
+broadcasts it when small and AQE's skew join splits the hot partition
+otherwise.
 """
 
 from __future__ import annotations
