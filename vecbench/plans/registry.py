@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from vecbench.functions.slerp import with_slerp
 from vecbench.functions.vectors import with_cosine
-from vecbench.operators.grid import best_parameters
 from vecbench.operators.relevance import match_stats, relevance_info
 from vecbench.operators.search import grid_search, topk_search
 from vecbench.plans.evaluate import evaluate_dataset

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from vecbench.functions.hashing import hash_vector
 from vecbench.functions.slerp import slerp
-from vecbench.functions.vectors import dot
 from vecbench.operators import tasks as T
 from vecbench.operators.ann import ivf_search
 from vecbench.operators.relevance import relevance_info
