@@ -308,3 +308,30 @@ def lsh_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                   F.col("embedding").cast("array<double>").alias("v"))
     h = lsh_search(e, e, 10, vector="v", exclude_self=True)
     return h.select("query_row", "rank", "item_row", _r("score"))
+
+
+@register("rotation_adapter", """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+s AS (SELECT q.vec_id AS query_row, c.vec_id AS item_row, list_dot_product(q.v, c.v) AS score
+      FROM e q JOIN e c ON q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_row ORDER BY round(score, 9) DESC, item_row) AS rank FROM s)
+SELECT query_row, CAST(rank AS INTEGER) AS rank, item_row, round(score, 6) AS score FROM r WHERE rank <= 10""")
+def rotation_adapter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An orthogonal (rotation) adapter applied in Arrow batches; inner
+    products, hence the flat top-10, are those of the raw vectors."""
+    from vecbench.operators.encode import adapt_linear, rotation_matrix
+    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"),
+                                                  F.col("embedding").cast("array<double>").alias("v"))
+    rot = adapt_linear(e, "v", rotation_matrix(64, seed=7), normalize_output=False)
+    h = topk_search(rot, rot, 10, vector="v", exclude_self=True)
+    return h.select("query_row", "rank", "item_row", _r("score"))
+
+
+@register("pca_adapter")
+def pca_adapter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PCA to 16 components fitted on the catalog and applied to it; the
+    projected length per row (sign-free, rows-only check)."""
+    from vecbench.operators.encode import apply_pca, fit_pca
+    e = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    p = apply_pca(fit_pca(e, "v", 16), e, "v", "p")
+    return p.select("vec_id", F.round(F.sqrt(F.aggregate("p", F.lit(0.0), lambda a, x: a + x * x)), 6).alias("length"))
