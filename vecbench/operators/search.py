@@ -8,9 +8,9 @@ Plan shape
    other side streams (no shuffle of the large side). When neither side is
    bounded, the smaller side is replicated across the partitions of the
    larger one and both are shuffled on that key.
-3. Each block pair is one Arrow task: fuse every weight of the grid
-   (``slerp_np``), one matrix product per (alpha, beta), deterministic
-   top-k per query row. Only k rows per query and weight pair leave a block
+3. Each block pair is one Arrow task: the query block is fused for every
+   alpha and the catalog block for one beta at a time (``slerp_np``), one
+   matrix product per (alpha, beta), deterministic top-k per query row. Only k rows per query and weight pair leave a block
    pair, never all pairs.
 4. When the catalog spans several blocks, a ``row_number`` window keeps the
    final k per (query, alpha, beta); Spark runs it as a partial
