@@ -135,3 +135,16 @@ def test_encoder_retries_transient_failures(spark):
     df = spark.createDataFrame([(i, f"t{i}") for i in range(10)], "row_id bigint, text string").coalesce(1)
     out = encode(df, flaky, "text", "v", batch_size=4, retries=2, backoff=0.01).collect()
     assert all(r.v == [1.0, 1.0] for r in out)
+
+
+def test_stream_search_default_checkpoint(spark, scratch):
+    import uuid
+    src = os.path.join(scratch, "qs")
+    schema = "row_id bigint, id string, text_embedding array<double>, image_embedding array<double>"
+    rows = [(i, "a", [1.0, float(i)], [float(i), 1.0]) for i in range(4)]
+    spark.createDataFrame(rows, schema).write.parquet(src)
+    sink = os.path.join(scratch, "out")
+    q = stream_search(spark.readStream.schema(schema).parquet(src), spark.createDataFrame(rows, schema), sink,
+                      k=1, alphas=(0.0,), betas=(1.0,), name=f"t{uuid.uuid4().hex[:8]}")
+    q.awaitTermination(120)
+    assert spark.read.parquet(sink).count() == 4
