@@ -116,3 +116,16 @@ def test_float32_products_agree_with_float64(spark):
     assert len(sa & sb) / len(sa) >= 0.98
     s64 = {(r.query_row, r.item_row): r.score for r in a}
     assert max(abs(s64[key] - r.score) for r in b if (key := (r.query_row, r.item_row)) in s64) < 1e-5
+
+
+@pytest.mark.parametrize("similarity", ["ip", "cosine"])
+def test_four_dot_equals_direct_fusion(spark, similarity):
+    df, M, ids = make(spark, 30, 12, 31, null_image={3})
+    kw = dict(alphas=(0.0, 0.3, 1.0), betas=(0.0, 0.6, 1.0), exclude_self=True, similarity=similarity)
+    direct = grid_search(df, df, 4, method="direct", **kw).collect()
+    four = grid_search(df, df, 4, method="four_dot", **kw).collect()
+    a = {(r.query_row, r.alpha, r.beta, r.rank, r.item_row) for r in direct}
+    b = {(r.query_row, r.alpha, r.beta, r.rank, r.item_row) for r in four}
+    assert a == b
+    sa = {(r.query_row, r.alpha, r.beta, r.item_row): r.score for r in direct}
+    assert max(abs(sa[(r.query_row, r.alpha, r.beta, r.item_row)] - r.score) for r in four) < 1e-12

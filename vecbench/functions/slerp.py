@@ -94,12 +94,11 @@ def with_slerp(df: DataFrame, v1: str, v2: str, t: str | float, out: str = "fuse
     return df.withColumn(out, slerp(v1, v2, t, eps))
 
 
-def slerp_np(v1: np.ndarray, v2: np.ndarray, t: float, eps: float = EPS,
-             has1: np.ndarray | None = None, has2: np.ndarray | None = None) -> np.ndarray:
-    """Row-wise slerp of two (n, d) matrices under one weight ``t`` (same rule).
+def slerp_coefficients_np(v1: np.ndarray, v2: np.ndarray, t: float, eps: float = EPS,
+                          has1: np.ndarray | None = None, has2: np.ndarray | None = None):
+    """(u1, u2) per row with slerp(v1, v2, t) = u1 * v1 + u2 * v2 (same rule as :func:`slerp_np`).
 
-    ``has1``/``has2`` mark rows where a modality exists; a row missing one
-    modality returns the other raw row (F2).
+    A row missing one modality keeps the other raw: (1, 0) or (0, 1) (F2).
     """
     n1 = np.sqrt(np.einsum("ij,ij->i", v1, v1))
     n2 = np.sqrt(np.einsum("ij,ij->i", v2, v2))
@@ -121,6 +120,20 @@ def slerp_np(v1: np.ndarray, v2: np.ndarray, t: float, eps: float = EPS,
         g2 = np.where(~linear & (d < 0), -g2, g2)
         rn = np.sqrt(np.maximum(0.0, g1 * g1 * aa + g2 * g2 * bb + 2 * g1 * g2 * ab)) + eps
         u1, u2 = g1 / da / rn, g2 / db / rn
+    if has1 is not None and has2 is not None:
+        u1 = np.where(~has2, 1.0, np.where(~has1, 0.0, u1))
+        u2 = np.where(~has2, 0.0, np.where(~has1, 1.0, u2))
+    return u1, u2
+
+
+def slerp_np(v1: np.ndarray, v2: np.ndarray, t: float, eps: float = EPS,
+             has1: np.ndarray | None = None, has2: np.ndarray | None = None) -> np.ndarray:
+    """Row-wise slerp of two (n, d) matrices under one weight ``t`` (same rule).
+
+    ``has1``/``has2`` mark rows where a modality exists; a row missing one
+    modality returns the other raw row (F2).
+    """
+    u1, u2 = slerp_coefficients_np(v1, v2, t, eps)
     out = v1 * u1[:, None] + v2 * u2[:, None]
     if has1 is not None and has2 is not None:
         out = np.where((~has2)[:, None], v1, out)
