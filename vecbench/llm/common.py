@@ -51,14 +51,27 @@ def semi_by_key(df: DataFrame, keys: DataFrame, key: str, how: str = "left_semi"
     return df.join(keys, key, how)
 
 
-def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread: list[str],
-                how: str = "left", salts: int = 16) -> DataFrame:
-    """Equi-join whose left side may have a third of its rows on one key: left rows are dealt to
-    ``salts`` copies of the right side (one row a key), by the hash of the ``spread`` columns."""
-    s = unused(left, "salt")
-    dealt = left.withColumn(s, F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    copies = right.withColumn(s, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return dealt.join(copies, [*on, s], how).drop(s)
+def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """Equi-join of a written table with one that has a row a key, when a third of the left rows may
+    share a key.
+
+    Keys with at least 1/2000 of the left rows (so 2000 at most) are hot: their right rows are broadcast
+    and their left rows stay where they are. All others are joined by shuffle; rows with a null key match
+    nothing and are not shuffled.
+    """
+    known = left.dropna(subset=on)
+    least = max(1000, left.count() // 2000)
+    hot = settle(known.groupBy(*on).count().filter(F.col("count") >= least).select(*on), "hot")
+    parts = [known.join(F.broadcast(hot), on, "left_anti").join(right, on, how)]
+    if hot.limit(1).count():
+        theirs = settle(right.join(F.broadcast(hot), on, "left_semi"), "hot")
+        parts.append(known.join(F.broadcast(hot), on, "left_semi").join(F.broadcast(theirs), on, how))
+    if how == "left":
+        parts.append(left.filter(~F.expr(" and ".join(f"`{c}` is not null" for c in on))))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
 
 
 def binary(column: pa.Array) -> list[bytes | None]:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecbench.llm.common import WordHashes, binary, hash_family, mixed, salted_join, semi_by_key, settle, shingles
+from vecbench.llm.common import WordHashes, binary, hash_family, mixed, semi_by_key, settle, shingles, skew_join
 
 PERMUTATIONS, ROWS, BITS = 128, 4, 4
 PER_LONG = 64 // BITS
@@ -202,7 +202,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5) -> DataF
     # every member of a class has the component of its head
     named_comp = heads.select("digest", "rep").distinct().join(comp.withColumnRenamed("node", "rep"), "rep", "left") \
         .groupBy("digest").agg(F.min(F.coalesce("comp", "rep")).alias("comp"))
-    out = salted_join(whole.select("doc_id", "digest", "n_shingles"), named_comp, ["digest"], ["doc_id"])
+    out = skew_join(whole.select("doc_id", "digest", "n_shingles"), named_comp, ["digest"])
     found = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
     return out.select("doc_id", "n_shingles", found.alias("component_id"),
                       F.coalesce(F.col("doc_id") == found, F.lit(True)).alias("kept"))

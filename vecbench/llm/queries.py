@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vecbench.llm import sql
-from vecbench.llm.common import table
+from vecbench.llm.common import new_folder, table
+from vecbench.llm.decontaminate import contained_items
 from vecbench.llm.minhash import near_duplicates
+from vecbench.llm.orcfiles import read_digests, write_token_files
+from vecbench.llm.packing import Capacity, pack
 from vecbench.llm.registry import register
+from vecbench.llm.sharding import shards_by_rows
+from vecbench.llm.tokencache import token_counts
+from vecbench.llm.tokens import vocabulary
 
 
 @register("op10_bbit_minhash", f"""
@@ -24,3 +31,44 @@ SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, min(reach.other) AS co
 FROM s JOIN reach ON reach.node = s.doc_id GROUP BY s.doc_id, len(s.sh)""")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=75)
+
+
+_BARE = r"regexp_extract_all(regexp_replace({0}, '[!-/:-@\[-`{{-~]', '', 'g'), '[^\x20\x09-\x0D]+')"
+
+
+@register("op1_containment", f"""
+WITH d AS (SELECT doc_id, {_BARE.format(sql.ASCII_LOWER.format("coalesce(text, '')"))} AS ws FROM documents),
+i AS (SELECT item_id, {_BARE.format(sql.ASCII_LOWER.format("coalesce(text, '')"))} AS ws FROM benchmark),
+ds AS (SELECT doc_id, unnest(list_distinct({sql.shingle_list('ws')})) AS g FROM d),
+its AS (SELECT item_id, list_distinct({sql.shingle_list('ws')}) AS sh FROM i),
+ie AS (SELECT item_id, unnest(sh) AS g FROM its),
+n AS (SELECT doc_id, item_id, count(*) AS n_found FROM ds JOIN ie USING (g) GROUP BY 1, 2)
+SELECT doc_id, n.item_id, n_found, CAST(len(sh) AS BIGINT) AS n_item, n_found / len(sh) AS containment
+FROM n JOIN its ON its.item_id = n.item_id WHERE n_found >= 0.75 * len(sh)""")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), containment=0.75)
+
+
+@register("op2_vector_best_fit")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), vocabulary(), Capacity(tokens=2048), end_id=0)
+
+
+@register("op3_digest_cache")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a cache of its own: the query measures the whole work, not what an earlier call left
+    return token_counts(table(spark, sf_dir, "documents"), vocabulary(), new_folder(spark, "cache"), limit=2048)
+
+
+@register("op4_feistel")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = shards_by_rows(table(spark, sf_dir, "documents"), shards=16)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                       F.lit(None).cast("int").alias("grown_shard"))
+
+
+@register("op6_orc")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "orc")
+    write_token_files(table(spark, sf_dir, "documents"), vocabulary(), folder, end_id=2)
+    return read_digests(spark, folder)
