@@ -15,6 +15,8 @@ from vecbench.llm.registry import register
 from vecbench.llm.sharding import shards_by_rows
 from vecbench.llm.tokencache import token_counts
 from vecbench.llm.tokens import vocabulary
+from vecbench.llm.urlfilter import TRACKING, judge_urls, recrawled
+from vecbench.llm.warc import archived
 
 
 @register("op10_bbit_minhash", f"""
@@ -72,3 +74,37 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "orc")
     write_token_files(table(spark, sf_dir, "documents"), vocabulary(), folder, end_id=2)
     return read_digests(spark, folder)
+
+
+@register("op9_chunked_warc")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(table(spark, sf_dir, "pages"), least_bytes=0)
+
+
+#: The rules of the query.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+             ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+_RULE_ROWS = ", ".join(str(r) for r in URL_RULES)
+_SQL_TRACKING = ", ".join(f"'{p}'" for p in TRACKING)
+
+
+@register("op7_blocked_bloom", rf"""
+WITH rules(rule_host, rule_path, action) AS (VALUES {_RULE_ROWS}),
+r AS (SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, {sql.ASCII_LOWER.format("regexp_extract(rest, '^[^/?#]*')")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+      list_sort(list_filter(string_split(regexp_extract(rest, '^[^?#]*\?([^#]*)', 1), '&'),
+                lambda x: x <> '' AND NOT list_contains([{_SQL_TRACKING}], string_split(x, '=')[1]))) AS kept FROM r),
+c AS (SELECT *, CASE WHEN host = '' THEN '' ELSE regexp_replace(host, '^www\.', '') || regexp_replace(path, '/$', '')
+      || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END END AS canonical FROM p),
+many AS (SELECT canonical FROM c WHERE canonical <> '' GROUP BY 1 HAVING count(*) > 1),
+fit AS (SELECT page_id, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(action, length(rule_host || rule_path)) AS action
+        FROM c JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(action, CASE WHEN many.canonical IS NULL THEN 'allow' ELSE 'block' END) AS verdict,
+       many.canonical IS NOT NULL AS listed
+FROM c LEFT JOIN fit USING (page_id) LEFT JOIN many ON many.canonical = c.canonical""")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the tables hold no list of URLs: canonical URLs that were crawled more than once serve as one
+    pages = table(spark, sf_dir, "pages")
+    rules = spark.createDataFrame(URL_RULES, "rule_host string, rule_path string, action string")
+    return judge_urls(pages, rules, recrawled(pages))
