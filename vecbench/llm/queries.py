@@ -11,6 +11,7 @@ from vecbench.llm.decontaminate import contained_items
 from vecbench.llm.minhash import near_duplicates
 from vecbench.llm.orcfiles import read_digests, write_token_files
 from vecbench.llm.packing import Capacity, pack
+from vecbench.llm.quality import quality
 from vecbench.llm.registry import register
 from vecbench.llm.sharding import shards_by_rows
 from vecbench.llm.tokencache import token_counts
@@ -69,6 +70,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.lit(None).cast("int").alias("grown_shard"))
 
 
+@register("op5_hashed_llr")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @register("op6_orc")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "orc")
