@@ -16,6 +16,7 @@ from vecbench.llm.registry import register
 from vecbench.llm.sharding import shards_by_rows
 from vecbench.llm.tokencache import token_counts
 from vecbench.llm.tokens import vocabulary
+from vecbench.llm.toxicity import toxicity
 from vecbench.llm.urlfilter import TRACKING, judge_urls, recrawled
 from vecbench.llm.warc import archived
 
@@ -82,6 +83,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_digests(spark, folder)
 
 
+@register("op8_levenshtein_trie")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
+
+
 @register("op9_chunked_warc")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived(table(spark, sf_dir, "pages"), least_bytes=0)
