@@ -2,9 +2,12 @@
 
 The lexicon (words and word beginnings) is learned from labelled training rows. Its trie is intersected
 with Levenshtein automata: a state is a set of (trie node, edits), computed when a word first needs it,
-so a word is matched in one walk over its letters that most words leave after a few. A hit counts by its
-term's log odds, less for each edit; its context window lowers it in quotation marks or beside words of
-reporting, and raises it beside other hits.
+so a word is matched in one walk over its letters that most words leave after a few.
+
+A hit of term t in a text of n words counts log(1 + mu / (n * lambda)): mu is the term's mean number of
+hits in toxic training texts, lambda its rate a word in clean ones, so what chance brings to a long text
+counts little. Each edit lowers that; the context window lowers it in quotation marks or beside words of
+reporting and raises it beside other hits. The sum is set against a threshold fitted on the training rows.
 """
 
 from __future__ import annotations
@@ -24,7 +27,8 @@ from vecbench.llm.common import binary, settle
 TOXIC_DOCS, CLEAN_DOCS = 4_000, 12_000
 #: Terms considered at most: those in most toxic documents.
 CANDIDATES = 50_000
-MIN_ODDS = 4.2
+#: Least log-likelihood ratio (G squared) and log odds of a term.
+MIN_G2, MIN_ODDS = 30.0, 1.0
 PREFIXES = range(4, 9)
 MEMO = 300_000
 WINDOW = 6
@@ -47,14 +51,17 @@ def runs_of(text: bytes | None) -> list[str]:
 
 @dataclass
 class Lexicon:
-    """weights: term -> log odds ('abc*' is a word beginning); exact: terms without misspellings;
-    clean: misspellings that clean training documents use; prior and none: log odds with and without hits."""
+    """terms: term -> (mu, lambda); 'abc*' is a word beginning. exact: terms without misspellings;
+    clean: misspellings that clean training documents use; least: the sum of hits that scores 0.7."""
 
-    weights: dict[str, float] = field(default_factory=dict)
+    terms: dict[str, tuple[float, float]] = field(default_factory=dict)
     exact: set[str] = field(default_factory=set)
     clean: set[str] = field(default_factory=set)
-    prior: float = 0.0
-    none: float = -4.0
+    least: float = 4.0
+
+    def weight(self, term: str, n_words: int) -> float:
+        mu, rate = self.terms[term]
+        return math.log1p(mu / (n_words * rate))
 
     def edits(self, term: str) -> int:
         n = len(term.rstrip("*"))
@@ -71,7 +78,7 @@ class Matcher:
         self.next: list[dict[str, int]] = [{}]  # trie
         self.ends: list[list[tuple[str, int]]] = [[]]
         self.most: list[int] = [0]  # edits allowed to the terms below a node
-        for term in sorted(lexicon.weights):
+        for term in sorted(lexicon.terms):
             node, edits = 0, lexicon.edits(term)
             self.most[0] = max(self.most[0], edits)
             for c in term.rstrip("*"):
@@ -104,7 +111,7 @@ class Matcher:
                     todo.append((child, e + 1))
         key = tuple(sorted(reach.items()))
         if key not in self.ids:
-            hits = [(e, -self.lexicon.weights[t], t) for n, e in key for t, most in self.ends[n] if e <= most]
+            hits = [(e, self.lexicon.terms[t][1], t) for n, e in key for t, most in self.ends[n] if e <= most]
             whole = min(hits, default=None)
             begun = min([h for h in hits if h[2].endswith("*")], default=None)
             self.ids[key] = len(self.sets)
@@ -168,19 +175,23 @@ def context(runs: list[str], at: int, others: bool) -> float:
     return COMPANY if others else 1.0
 
 
-def score(text: bytes | None, hits: Hits) -> tuple[float, int]:
-    """(score, hits) of a text."""
+def evidence(text: bytes | None, hits: Hits) -> tuple[float, int]:
+    """Sum of the hits' weights, and their number."""
     lexicon = hits.matcher.lexicon
     runs = runs_of(text)
     found = [(k, h) for k, h in enumerate(map(hits.__getitem__, runs)) if h is not None]
-    if not found:
-        logit = lexicon.none
-    else:
-        logit = lexicon.prior
-        for n, (k, (term, edits)) in enumerate(found):
-            company = n > 0 and k - found[n - 1][0] <= WINDOW or n + 1 < len(found) and found[n + 1][0] - k <= WINDOW
-            logit += lexicon.weights[term] * EDIT**edits * context(runs, k, company)
-    return 1 / (1 + math.exp(-max(-30.0, min(30.0, logit)))), len(found)
+    total = 0.0
+    for n, (k, (term, edits)) in enumerate(found):
+        company = n > 0 and k - found[n - 1][0] <= WINDOW or n + 1 < len(found) and found[n + 1][0] - k <= WINDOW
+        total += lexicon.weight(term, len(runs)) * EDIT**edits * context(runs, k, company)
+    return total, len(found)
+
+
+def score(text: bytes | None, hits: Hits) -> tuple[float, int]:
+    """(score, hits) of a text: 0.7 where the sum of hits is the lexicon's least."""
+    total, n = evidence(text, hits)
+    logit = total - hits.matcher.lexicon.least + math.log(0.7 / 0.3) + 1e-9
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, logit)))), n
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -199,45 +210,73 @@ def _terms(wanted: frozenset[str] | None):
     return run
 
 
-def _variants(lexicon: Lexicon):
+def _uses(terms: list[str]):
+    """(word, term, uses, n): per text its words; per term its exact uses; misspelled words of clean texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(lexicon)
+        matcher = Matcher(Lexicon(dict.fromkeys(terms, (1.0, 1.0))))
         for batch in batches:
             for text, toxic in zip(binary(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                found = {(w, *m) for w in {word_of(r) for r in set(runs_of(text))} if w and (m := matcher.match(w))}
-                rows = [(w, t, e) for w, t, e in found if e and not toxic] + [("", "", int(any(not e for _, _, e in found)))]
+                words = Counter(word_of(r) for r in runs_of(text))
+                found = {w: m for w in words if w and (m := matcher.match(w))}
+                uses = Counter()
+                for w, (t, e) in found.items():
+                    uses[t] += 0 if e else words[w]
+                rows = [("", "", sum(words.values()))] + [("", t, n) for t, n in uses.items()] + [(w, t, 1) for w, (t, e) in found.items() if e and not toxic]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.int32()),
-                     pa.array([toxic] * len(rows), pa.int32())], ["word", "term", "edits", "toxic"])
+                    [pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.int64()),
+                     pa.array([toxic] * len(rows), pa.int32())], ["word", "term", "uses", "toxic"])
+    return run
+
+
+def _evidence(lexicon: Lexicon):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hits = Hits(Matcher(lexicon))
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([evidence(t, hits)[0] for t in binary(batch.column(0))], pa.float64()), batch.column(1)], ["total", "toxic"])
     return run
 
 
-def choose_terms(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int) -> dict[str, float]:
-    """Terms with high log odds: of nested beginnings the longest that keeps the support of the shortest
-    pure one, a whole word before a beginning."""
-    odds = {t: math.log((n + 0.5) / (n_toxic + 1)) - math.log((clean.get(t, 0) + 0.5) / (n_clean + 1)) for t, n in toxic.items()}
-    pure = {t for t in odds if odds[t] >= MIN_ODDS and len(t.rstrip("*")) >= 3}
-    stems = sorted((t for t in pure if t.endswith("*")), key=len)
-    chosen: dict[str, float] = {}
-    under: dict[str, list[str]] = {}
-    for t in pure:
+def choose_terms(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int) -> list[str]:
+    """Terms that toxic texts have significantly more often, none a beginning of another: the strongest
+    first, each as the longest form that keeps 98 % of its support, a whole word before a beginning."""
+    strength: dict[str, float] = {}
+    for t, n in toxic.items():
+        c = clean.get(t, 0)
+        odds = math.log((n + 0.5) / (n_toxic + 1)) - math.log((c + 0.5) / (n_clean + 1))
+        share = (n + c) / (n_toxic + n_clean)
+        g2 = 2 * (n * math.log(n / (n_toxic * share)) + (c * math.log(c / (n_clean * share)) if c else 0.0))
+        if odds >= MIN_ODDS and g2 >= MIN_G2 and len(t.rstrip("*")) >= 3:
+            strength[t] = g2
+    below: dict[str, list[str]] = {}
+    for t in strength:
         for n in PREFIXES:
             if n <= len(t.rstrip("*")):
-                under.setdefault(t[:n], []).append(t)
-    done: set[str] = set()
-    for stem in stems:
-        if any(stem[:n] in done for n in PREFIXES if n < len(stem) - 1):
+                below.setdefault(t[:n], []).append(t)
+    chosen, taken = [], set()
+    for t in sorted(strength, key=lambda t: (-strength[t], len(t), t)):
+        stem = t.rstrip("*")
+        if t in taken:
             continue
-        done.add(stem[:-1])
-        same = [t for t in under.get(stem[:-1], []) if toxic[t] >= 0.98 * toxic[stem]] + [stem]
-        best = max(same, key=lambda t: (not t.endswith("*"), len(t), t))
-        chosen[best] = odds[best]
-    for t in pure:
-        if not t.endswith("*") and not any(t[:n] in done for n in PREFIXES):
-            chosen[t] = odds[t]
+        same = [x for x in below.get(stem, []) if x not in taken and toxic[x] >= 0.98 * toxic[t]] if t.endswith("*") else []
+        best = max([*same, t], key=lambda x: (not x.endswith("*"), len(x), x))
+        chosen.append(best)
+        taken.update(below.get(stem, []) if t.endswith("*") else [t])
+        taken.update(stem[:n] + "*" for n in PREFIXES if n <= len(stem))
     return chosen
 
 
+def fit_least(rows: list[tuple[float, int]]) -> float:
+    """Sum with the fewest errors on (sum, toxic) rows, 0.4 of the way through the best gap; 1 at least."""
+    rows = sorted(rows)
+    errors = sum(1 - t for _, t in rows)  # all called toxic
+    best, least = errors, 0.0
+    for k, (total, toxic) in enumerate(rows):
+        errors += 1 if toxic else -1
+        if errors < best and (k + 1 == len(rows) or rows[k + 1][0] > total):
+            best, least = errors, total + 0.4 * (rows[k + 1][0] - total) if k + 1 < len(rows) else total + 1
+    return max(1.0, least)
+
+
 def learn(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, clean_docs: int = CLEAN_DOCS) -> Lexicon:
     """A lexicon from labelled rows outside ``held_out``; empty if a class has no rows."""
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")) \
@@ -255,19 +294,22 @@ def learn(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, clea
     toxic = {r["term"]: r["count"] for r in terms.filter(F.col("count") >= least).orderBy(F.desc("count"), "term").limit(CANDIDATES).collect()}
     terms = texts.filter("toxic = 0").select("text").mapInArrow(_terms(frozenset(toxic)), "term string").groupBy("term").count()
     clean = {r["term"]: r["count"] for r in terms.collect()}
-    lexicon = Lexicon(choose_terms(toxic, clean, n_toxic, n_clean), prior=math.log(n_toxic / n_clean))
-    seen = texts.mapInArrow(_variants(lexicon), "word string, term string, edits int, toxic int") \
-        .groupBy("word", "term", "edits", "toxic").count().collect()  # of the sample: bounded with it
-    without = Counter()
+    chosen = choose_terms(toxic, clean, n_toxic, n_clean)
+    uses, words, lexicon = Counter(), Counter(), Lexicon()
     forms = Counter()
-    for r in seen:
-        if r["term"]:
+    for r in texts.mapInArrow(_uses(chosen), "word string, term string, uses long, toxic int") \
+            .groupBy("word", "term", "toxic").agg(F.sum("uses").alias("uses")).collect():  # of the sample: bounded with it
+        if r["word"]:
             lexicon.clean.add(r["word"])
             forms[r["term"]] += 1
-        elif not r["edits"]:
-            without[r["toxic"]] += r["count"]
+        elif r["term"]:
+            uses[r["term"], r["toxic"]] = r["uses"]
+        else:
+            words[r["toxic"]] = r["uses"]
+    lexicon.terms = {t: (uses[t, 1] / n_toxic, (uses[t, 0] + 0.5) / (words[0] + 1)) for t in chosen if uses[t, 1]}
     lexicon.exact = {t for t, n in forms.items() if n > 5}  # misspelled, they look like other words
-    lexicon.none = min(math.log((without[1] + 0.5) / (without[0] + 0.5)), lexicon.prior - 1)
+    totals = texts.mapInArrow(_evidence(lexicon), "total double, toxic int").collect()  # a row a sampled text
+    lexicon.least = fit_least([tuple(r) for r in totals])
     return lexicon
 
 
