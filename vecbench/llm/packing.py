@@ -84,8 +84,8 @@ def _pieces(path: str, end_id: int, most: int):
         enc = encoder(path)
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), binary(batch.column(1)), strict=True):
-                ids = np.append(enc.ids(text), np.uint32(end_id))
+            for doc, ids in zip(batch.column(0).to_pylist(), enc.many(binary(batch.column(1))), strict=True):
+                ids = np.append(ids, np.uint32(end_id))
                 rows += [(doc, k // most, k, min(most, len(ids) - k), crc32_of(ids[k : k + most])) for k in range(0, len(ids), most)]
             if rows:
                 columns = zip(*rows, strict=True)

@@ -12,6 +12,7 @@ import json
 import os
 import re
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
 
@@ -22,8 +23,10 @@ MEMO_RUNS = 600_000
 #: Letters in lower case whose normal form is themselves: a run of them is one piece.
 _LETTERS = re.compile("[a-zß-öø-ÿ]+")
 #: Punctuation at the end of a run, behind such a letter (a capital is one too): a piece of its own.
-_ENDS = re.compile(rb"(?:(?<=[A-Za-z])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([.,!?;:]+)(?=[ \t-\r]|\Z)")
+_ENDS = re.compile(rb"([.,!?;:](?:(?<=[A-Za-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[.,!?;:]*)(?=[ \t-\r]|\Z)")
 _JOIN = 512
+#: Bytes of texts that are looked up together.
+BLOCK = 1 << 19
 
 
 def file_digest(path: str) -> str:
@@ -94,13 +97,11 @@ class _Runs(dict):
         self.update(zip(runs, range(n, n + m), strict=True))
 
     def numbers(self, runs: list[bytes]) -> np.ndarray:
-        try:
-            return np.fromiter(map(self.__getitem__, runs), np.int64, len(runs))
-        except KeyError:
-            if len(self) > MEMO_RUNS:
-                self.forget()
-            self.learn([r for r in set(runs) if r not in self])
-            return np.fromiter(map(self.__getitem__, runs), np.int64, len(runs))
+        if len(self) > MEMO_RUNS:
+            self.forget()
+        if missing := [r for r in set(runs) if r not in self]:
+            self.learn(missing)
+        return np.fromiter(map(self.__getitem__, runs), np.int64, len(runs))
 
 
 class Encoder:
@@ -125,29 +126,54 @@ class Encoder:
         # a special string is matched before lower-casing, so such texts keep their capitals
         return _ENDS.sub(rb" \1", text if b"<|" in text else text.lower()).split()
 
-    def ids(self, text: bytes | None) -> np.ndarray:
-        """Ids of one text as unsigned 32-bit numbers; null is empty."""
-        if not text:
-            return np.empty(0, np.uint32)
+    def _whole(self, text: bytes) -> list[int]:
+        text = text.decode("utf-8", "replace")
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids if hasattr(self, "tokenizer") else self.pieces.encode(text)
+
+    def _blocks(self, texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Texts a few at a time (BLOCK bytes or one text): their run numbers and runs a text."""
+        runs, counts, size = [], [], 0
+        for text in texts:
+            own = self._split(text) if text else []
+            runs += own
+            counts.append(len(own))
+            size += len(text or b"")
+            if size >= BLOCK:
+                yield self.runs.numbers(runs), np.array(counts)
+                runs, counts, size = [], [], 0
+        if counts:
+            yield self.runs.numbers(runs), np.array(counts)
+
+    def many(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
+        """Ids of each text in turn, as unsigned 32-bit numbers; null is empty."""
+        if self.runs is None:
+            for text in texts:
+                yield np.array(self._whole(text) if text else [], np.uint32)
+            return
+        for k, counts in self._blocks(texts):
+            lengths = self.runs.lengths[k]
+            ends = np.cumsum(lengths)
+            total = int(ends[-1]) if len(k) else 0
+            flat = self.runs.flat[np.arange(total) + np.repeat(self.runs.starts[k] - (ends - lengths), lengths)]
+            edges = np.append(0, ends)[np.append(0, np.cumsum(counts))]
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                yield flat[a:b]
+
+    def counts(self, texts: list[bytes | None]) -> list[int]:
+        """Number of ids of each text."""
         if self.runs is None:
-            if hasattr(self, "tokenizer"):
-                return np.array(self.tokenizer.encode_batch_fast([text.decode("utf-8", "replace")], add_special_tokens=False)[0].ids, np.uint32)
-            return np.array(self.pieces.encode(text.decode("utf-8", "replace")), np.uint32)
-        k = self.runs.numbers(self._split(text))
-        lengths = self.runs.lengths[k]
-        ends = np.cumsum(lengths)
-        if not len(k) or not ends[-1]:
-            return np.empty(0, np.uint32)
-        at = np.arange(ends[-1]) + np.repeat(self.runs.starts[k] - (ends - lengths), lengths)
-        return self.runs.flat[at]
+            return [len(x) for x in self.many(texts)]
+        out = []
+        for k, counts in self._blocks(texts):
+            sums = np.append(0, np.cumsum(self.runs.lengths[k]))
+            out += np.diff(sums[np.append(0, np.cumsum(counts))]).tolist()
+        return out
+
+    def ids(self, text: bytes | None) -> np.ndarray:
+        return next(self.many([text]))
 
     def count(self, text: bytes | None) -> int:
-        if not text:
-            return 0
-        if self.runs is None:
-            return len(self.ids(text))
-        k = self.runs.numbers(self._split(text))
-        return int(self.runs.lengths[k].sum())
+        return self.counts([text])[0]
 
 
 @lru_cache(maxsize=2)
