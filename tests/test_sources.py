@@ -1,6 +1,8 @@
 import json
 import os
 
+import pytest
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -32,16 +34,18 @@ def _dataset(base):
 def test_csv_dataset_scan(spark, scratch):
     _dataset(scratch)
     cat, qry = load_dataset(spark, scratch, "shop")
+    assert cat.count() == 6                                     # both files of the catalog
+    cat, _ = load_dataset(spark, scratch, "shop", catalog_file="a.csv")
     rows = cat.orderBy("image_path").collect()
     assert [r.id for r in rows] == ["A1", "A1", "B2"]
     assert json.loads(rows[0].metadata)["price"] == 12.5        # doubled quotes kept one cell
     assert rows[1].text == 'Lamp "pro"\ntwo lines'
     assert rows[1].image_embedding is None and rows[1].text_embedding == [0.2, 0.2, 0.2]
-    assert cat.select("source_file").distinct().first()[0].endswith("a.csv")  # first in sorted order
+    assert cat.select("source_file").distinct().first()[0].endswith("a.csv")
     q = qry.first()
     assert 1 <= q.product_counts <= 20 and q.dataset == "shop"
-    allc, _ = load_dataset(spark, scratch, "shop", all_files=True)
-    assert allc.count() == 6
+    with pytest.raises(FileNotFoundError):
+        load_dataset(spark, scratch, "shop", catalog_file="none.csv")
     ds = list_datasets(spark, scratch).first()
     assert ds.dataset == "shop" and ds.catalog == ["a.csv", "b.csv"] and ds.test == ["q.csv"]
 

@@ -49,7 +49,7 @@ def test_global_rank_with_hot_key(spark):
     from vecbench.operators.catalogops import global_rank
     rows = [("aa",)] * 50 + [("0f",), ("ff",), ("b1",)]
     df = spark.createDataFrame(rows, "k string").repartition(5)
-    r = global_rank(df, "k", "pos", prefix=1, max_copies=7).collect()
+    r = global_rank(df, "k", "pos", prefix=1, group_rows=7).collect()
     pos = sorted(x.pos for x in r)
     assert pos == list(range(1, 54))
     by = {}

@@ -58,12 +58,17 @@ def test_parse_and_normalize(spark):
     ("  ", ""),
     ("no brackets", "no brackets"),
     ("'[1 2]' tail [3]", "[1, 2]"),
-    ("[1, 2]", "[1,, 2]"),   # comma-separated input keeps the comma on the token (strict parity)
+    ("[1, 2]", "[1, 2]"),    # a good vector stays as it is
+    ("[1,2 , 3\n4]", "[1, 2, 3, 4]"),
 ])
 def test_repair_vector_string(spark, raw, expected):
     assert _one(spark, repair_vector_string("s"), schema="s string", row=(raw,)) == expected
 
 
+def test_repair_vector_string_strict(spark):
+    assert _one(spark, repair_vector_string("s", strict=True), schema="s string", row=("[1, 2]",)) == "[1,, 2]"
+
+
 def test_round_floats_and_default_vector(spark):
     from vecbench.functions.vectors import round_floats, with_default_vector
     df = spark.createDataFrame([(1.23456, {"a": 2.345}, (3.14159, [1.005, 2.0]))],

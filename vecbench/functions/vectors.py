@@ -100,19 +100,25 @@ def format_vector(a: str | Column) -> Column:
     return F.concat(F.lit("["), F.array_join(_c(a).cast("array<string>"), ", "), F.lit("]"))
 
 
-def repair_vector_string(s: str | Column) -> Column:
+# What separates the numbers of a broken vector cell (default and strict mode).
+SEPARATORS = r"[\s,]+"
+STRICT_SEPARATORS = r"\s+"
+
+
+def repair_vector_string(s: str | Column, strict: bool = False) -> Column:
     """Turn a multi-line, whitespace-separated vector into ``[a, b, c]``.
 
     Rules: blank -> ``''``; strip surrounding quote characters; take the text
     between the first ``[`` and the first ``]`` (across newlines); split on
-    whitespace, drop empty tokens, join with ``', '`` inside brackets. Text
+    whitespace and commas (``strict``: on whitespace alone, which keeps commas
+    in the tokens), drop empty tokens, join with ``', '`` inside brackets. Text
     without a bracket pair comes back stripped but otherwise unchanged.
     """
     s = _c(s)
     stripped = F.regexp_replace(F.trim(s), r"^['\"]+|['\"]+$", "")
     has_pair = stripped.rlike(r"(?s)\[.*?\]")
     inner = F.regexp_extract(stripped, r"(?s)\[(.*?)\]", 1)
-    tokens = F.filter(F.split(inner, r"\s+"), lambda t: t != "")
+    tokens = F.filter(F.split(inner, STRICT_SEPARATORS if strict else SEPARATORS), lambda t: t != "")
     fixed = F.concat(F.lit("["), F.array_join(tokens, ", "), F.lit("]"))
     return (F.when(s.isNull() | (F.trim(s) == ""), F.lit(""))
              .when(has_pair, fixed)

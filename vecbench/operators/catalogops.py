@@ -98,7 +98,7 @@ def unpivot_documents(df: DataFrame, id_col: str, text_cols: Sequence[str], labe
 
 
 def global_rank(df: DataFrame, hex_key: str, out: str, prefix: int = 4,
-                max_copies: int = 1_000_000) -> DataFrame:
+                group_rows: int = 1_000_000) -> DataFrame:
     """1-based position of every row in the order of a uniform hex key (e.g. md5).
 
     Distributed, and safe when one key has a huge number of copies:
@@ -106,11 +106,10 @@ def global_rank(df: DataFrame, hex_key: str, out: str, prefix: int = 4,
     2. each key's first position: the distinct keys are bucketed on the first
        ``prefix`` hex digits (uniform), bucket totals become offsets over at
        most 16^prefix rows, and a running sum inside each bucket adds the rest;
-    3. copies of one key (indistinguishable, so any order) are numbered
-       inside the key; only when a key has more than ``max_copies`` copies are
-       they split into salted sub-groups of at most that size (the salted rows
-       are checkpointed once so both uses see the same salts), whose offsets
-       come from a running sum over the few sub-groups of that key.
+    3. copies of one key (indistinguishable, so any order) are split into
+       salted sub-groups of about ``group_rows`` (the salted rows are
+       checkpointed once so both uses see the same salts), numbered inside
+       them, and offset by a running sum over the few sub-groups of that key.
     No step holds more than one bucket or one sub-group.
     """
     counts = df.groupBy(hex_key).agg(F.count("*").alias("_n"))
@@ -123,17 +122,11 @@ def global_rank(df: DataFrame, hex_key: str, out: str, prefix: int = 4,
                 .join(F.broadcast(offsets), "_bucket")
                 .select(hex_key, "_n", (F.col("_off") + F.col("_w")).alias("_start")))
     keyed = df.join(starts, hex_key)
-    hottest = counts.agg(F.max("_n")).first()[0] or 0
-    if hottest <= max_copies:
-        # every key's copies fit one window partition: no salt needed
-        within = F.row_number().over(Window.partitionBy(hex_key).orderBy(hex_key))
-        return (keyed.withColumn(out, (F.col("_start") + within).cast("bigint"))
-                     .drop("_n", "_start"))
     # Salts come from row ids, which must be identical in both uses below:
     # the salted rows are written once to the shared checkpoint folder.
     from vecbench.session import cut_lineage
     keyed = cut_lineage(keyed.withColumn("_salt", F.pmod(F.monotonically_increasing_id(),
-                                                         F.ceil(F.col("_n") / max_copies).cast("bigint"))))
+                                                         F.ceil(F.col("_n") / group_rows).cast("bigint"))))
     sub = keyed.groupBy(hex_key, "_salt").agg(F.count("*").alias("_sn"))
     prev = Window.partitionBy(hex_key).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     sub = sub.select(hex_key, "_salt", F.coalesce(F.sum("_sn").over(prev), F.lit(0)).alias("_soff"))

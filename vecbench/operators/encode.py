@@ -173,12 +173,15 @@ def incremental_encode(spark, df: DataFrame, path: str, *, encoder_name: str, co
     """
     from vecbench.functions.hashing import config_hash
     chash_col = config_hash(encoder_name, config)
+    from pyspark.errors import AnalysisException
     try:
         store = (spark.read.parquet(path)
                  .where((F.col("encoder") == encoder_name) & (F.col("config_hash") == chash_col)
                         & (F.col("dataset") == dataset) & (F.col("side") == side)))
-    except Exception:  # noqa: BLE001 - no store yet
-        store = None
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        store = None  # the first run
     # one encoding per distinct content: copies of a text (which may be a large
     # share of a corpus) are encoded once and stored once
     todo = missing_rows(df, store, key_cols).dropDuplicates(["content_key"])

@@ -14,7 +14,6 @@ rows per query leave a block pair; a final window keeps k per query.
 
 from __future__ import annotations
 
-import math
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,6 @@ from vecbench.operators.blocks import pack_blocks, prefixed, unpack
 from vecbench.operators.search import (SCORE_DIGITS, _select_topk, broadcast_limit_bytes, pair_blocks,
                                        table_stats)
 
-TOKEN_SHIFT = 20
 MAXSIM_SCHEMA = "query_id bigint, doc_id bigint, rank int, score double"
 # Fixed value: a token is a maximal run of letters or digits (after lower-casing).
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
@@ -45,8 +43,9 @@ def token_table(df: DataFrame, id_col: str, text_col: str, dim: int = 8, salt: s
     tokens never become a hot join key.
     """
     t = df.select(F.col(id_col).cast("bigint").alias("text_id"), F.posexplode(words(text_col)).alias("pos", "token"))
-    return t.select((F.col("text_id") * F.lit(1 << TOKEN_SHIFT) + F.col("pos")).alias("row_id"),
-                    "text_id", "token", hash_vector("token", dim, salt).alias("v"))
+    # ids grow along a partition, so a text's tokens are adjacent in their order
+    return t.select(F.monotonically_increasing_id().alias("row_id"),
+                    "text_id", "pos", "token", hash_vector("token", dim, salt).alias("v"))
 
 
 def _pair_maxsim(k: int, exclude_self: bool):
@@ -80,7 +79,6 @@ def maxsim_search(query_tokens: DataFrame, doc_tokens: DataFrame, k: int = 10, *
                   query_chunk_rows: int = 4096, broadcast_bytes: int | None = None) -> DataFrame:
     """top-k documents per query by MaxSim. Inputs from :func:`token_table`."""
     spark = query_tokens.sparkSession
-    # counts prune the token vectors away; the width comes from a few rows
     n_doc_tok, dim = table_stats(doc_tokens, ["v"])
     dim = max(dim, 1)
     n_q_tok = n_doc_tok if query_tokens is doc_tokens else query_tokens.count()
@@ -88,17 +86,16 @@ def maxsim_search(query_tokens: DataFrame, doc_tokens: DataFrame, k: int = 10, *
         return spark.createDataFrame([], MAXSIM_SCHEMA)
     limit = broadcast_limit_bytes(spark) if broadcast_bytes is None else broadcast_bytes
     tok_bytes = dim * 8 + 64
-    ncp = max(1, math.ceil(n_doc_tok * tok_bytes / (128 << 20)))
-    nqp = max(spark.sparkContext.defaultParallelism, math.ceil(n_q_tok * tok_bytes / (128 << 20)))
+    tasks = spark.sparkContext.defaultParallelism
     # a text's tokens are adjacent in their partition (one posexplode), so the
-    # token tables are packed where they lie; coalesce only bounds the ids
-    cb = prefixed(pack_blocks(doc_tokens.coalesce(ncp), corpus_chunk_rows, key="text_id", text="v",
+    # token tables are packed where they lie
+    cb = prefixed(pack_blocks(doc_tokens, corpus_chunk_rows, key="text_id", text="v",
                               image=None, group="text_id", whole_groups=True, pre_grouped=True), "c_")
-    q_in = (query_tokens.repartition(nqp, "text_id").sortWithinPartitions("text_id", "row_id")
-            if n_q_tok * (dim * 8 + 64) <= limit else query_tokens.coalesce(nqp))
+    q_in = (query_tokens.repartition(tasks, "text_id").sortWithinPartitions("text_id", "row_id")
+            if n_q_tok * (dim * 8 + 64) <= limit else query_tokens)
     qb = prefixed(pack_blocks(q_in, query_chunk_rows, key="text_id", text="v", image=None,
                               group="text_id", whole_groups=True, pre_grouped=True), "q_")
-    pairs = pair_blocks(qb, cb, nqp, ncp, n_q_tok * tok_bytes, n_doc_tok * tok_bytes, limit)
+    pairs = pair_blocks(qb, cb, n_q_tok * tok_bytes, n_doc_tok * tok_bytes, limit, tasks)
     hits = pairs.mapInArrow(_pair_maxsim(k, exclude_self), MAXSIM_SCHEMA)
     w = Window.partitionBy("query_id").orderBy(F.round("score", SCORE_DIGITS).desc(), F.col("doc_id"))
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

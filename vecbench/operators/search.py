@@ -44,8 +44,6 @@ DEFAULT_WEIGHTS = (0.0, 0.25, 0.5, 0.75, 1.0)
 DEFAULT_KS = (1, 5, 10, 50)
 SCORE_DIGITS = 9
 ROW_CHUNK = 256
-# vectors at least this wide use the four-product form of the grid (method="auto")
-FOUR_DOT_MIN_DIM = 256
 
 
 def _select_topk(S: np.ndarray, k: int):
@@ -85,18 +83,14 @@ def _batch(out: dict, names: list) -> pa.RecordBatch:
 
 def _pair_search(alphas: Sequence[float], betas: Sequence[float], k: int, exclude_self: bool,
                  keep_keys: bool, relevant_only: bool = False, similarity: str = "ip",
-                 precision: str = "float64", method: str = "auto"):
+                 precision: str = "float64", method: str = "direct"):
     alphas = [float(a) for a in alphas]
     betas = [float(b) for b in betas]
     cosine = similarity == "cosine"
     dtype = np.float32 if precision == "float32" else np.float64
 
     def use_four_dot(qt, qi, ct, ci):
-        both = qt.shape[1] and qi.shape[1] and qt.shape[1] == qi.shape[1] == ct.shape[1] == ci.shape[1]
-        if method == "four_dot":
-            return bool(both)
-        return method == "auto" and bool(both) and qt.shape[1] >= FOUR_DOT_MIN_DIM \
-            and len(alphas) * len(betas) > 4
+        return method == "four_dot" and bool(qt.shape[1]) and qt.shape[1] == qi.shape[1] == ct.shape[1] == ci.shape[1]
 
     def fuse(t, ht, im, hi, w):
         v = _fuse(t, ht, im, hi, w)
@@ -195,70 +189,52 @@ def _pair_search(alphas: Sequence[float], betas: Sequence[float], k: int, exclud
                             S = (qf[a][lo:hi_] @ cfb.T).astype(np.float64, copy=False)
                             if self_mask is not None:
                                 S = np.where(self_mask, -np.inf, S)
-                            r, c, rank = _select_topk(S, k)
-                            if relevant_only:
-                                hit = qk[r] == ckey[c]
-                                r, c, rank = r[hit], c[hit], rank[hit]
-                            out["query_row"].append(qrid[lo:hi_][r])
-                            out["alpha"].append(np.full(len(r), a))
-                            out["beta"].append(np.full(len(r), b))
-                            out["rank"].append(rank.astype(np.int32))
-                            out["item_row"].append(crid[c])
-                            out["score"].append(S[r, c])
-                            out["rel"].append((qk[r] == ckey[c]).astype(np.float64))
-                            if keep_keys:
-                                out["query_key"].append(qk[r])
-                                out["item_key"].append(ckey[c])
+                            emit(out, names, qrid[lo:hi_], qk, crid, ckey, a, b, S)
                         yield _batch(out, names)
     return run
 
 
-def table_stats(df: DataFrame, cols: Sequence[str | None], sample_rows: int = 64) -> tuple[int, int]:
-    """(row count, summed vector width of the given columns), for sizing only.
-
-    The count reads no vector data (Catalyst prunes it to row counts); the
-    width comes from a few rows, so sizing never adds a full pass over the
-    vectors.
-    """
-    n = df.count()
+def table_stats(df: DataFrame, cols: Sequence[str | None]) -> tuple[int, int]:
+    """(row count, summed largest vector width of the given columns), exact, in one aggregate."""
     present = [c for c in cols if c]
-    if not n or not present:
-        return n, 0
-    rows = df.select(*[F.size(c).alias(f"w{i}") for i, c in enumerate(present)]).limit(sample_rows).collect()
-    width = max((sum(max(v, 0) for v in r if v is not None) for r in rows), default=0)
-    return n, int(width)
+    row = df.agg(F.count(F.lit(1)).alias("n"), *[F.max(F.size(c)).alias(f"w{i}") for i, c in enumerate(present)]).first()
+    return row["n"], int(sum(max(row[f"w{i}"] or 0, 0) for i in range(len(present))))
 
 
 def broadcast_limit_bytes(spark) -> int:
-    """The broadcast bound: the session's autoBroadcastJoinThreshold (at least 8 MB)."""
-    raw = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
-    try:
-        v = int(str(raw).lower().replace("b", ""))
-    except ValueError:
-        v = 10485760
-    return max(v, 8 << 20) if v > 0 else 0
-
-
-def pair_blocks(qb: DataFrame, cb: DataFrame, nqp: int, ncp: int, q_bytes: int, c_bytes: int,
-                limit: int) -> DataFrame:
-    """Every query block with every catalog block, as an equi-join on a partition key.
-
-    ``q_`` blocks come from ``nqp`` partitions, ``c_`` blocks from ``ncp``.
-    The side whose estimated size is within ``limit`` is broadcast and the
-    other side's blocks are replicated (narrowly, by ``explode``) once per
-    partition of the broadcast side, so the large side is never shuffled.
-    With neither side bounded, the smaller side is replicated across the
-    partitions of the larger and both are hash-shuffled on that key.
+    """The broadcast bound: the session's autoBroadcastJoinThreshold as Spark parses it; 0 when off."""
+    return max(0, int(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()))
+
+
+def tiling(q_bytes: int, c_bytes: int, tasks: int, partition_bytes: int = 128 << 20) -> tuple[int, int]:
+    """(query tiles R, catalog tiles C) with R * C >= p pairs of tiles and the least data moved.
+
+    Queries are copied C times and the catalog R times; q * C + c * R is least at
+    C = sqrt(p * c / q), so sides of equal size are copied sqrt(p) times each and a
+    much larger side is not copied at all.
     """
-    def rep(side: DataFrame, n: int) -> DataFrame:
-        return side.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    if c_bytes <= limit:
-        return rep(qb, ncp).join(F.broadcast(cb.withColumnRenamed("c_part", "_p")), "_p")
-    if q_bytes <= limit:
-        return rep(cb, nqp).join(F.broadcast(qb.withColumnRenamed("q_part", "_p")), "_p")
-    if q_bytes <= c_bytes:
-        return rep(qb, ncp).join(cb.withColumnRenamed("c_part", "_p"), "_p")
-    return rep(cb, nqp).join(qb.withColumnRenamed("q_part", "_p"), "_p")
+    p = max(tasks, math.ceil((q_bytes + c_bytes) / partition_bytes), 1)
+    r = min(p, max(1, round(math.sqrt(p * q_bytes / max(c_bytes, 1)))))
+    return r, math.ceil(p / r)
+
+
+def pair_blocks(qb: DataFrame, cb: DataFrame, q_bytes: int, c_bytes: int, limit: int, tasks: int,
+                partition_bytes: int = 128 << 20) -> DataFrame:
+    """Every query block with every catalog block, as an equi-join.
+
+    A side whose size is within ``limit`` is broadcast and the other stays where it lies.
+    Otherwise the pairs form a grid of R x C tiles (see :func:`tiling`): a block belongs to one
+    tile of its side and meets each tile of the other side once.
+    """
+    if min(q_bytes, c_bytes) <= limit:
+        q, c = (side.withColumn("_p", F.pmod(f"{x}_blk", F.lit(1))) for side, x in ((qb, "q"), (cb, "c")))
+        return q.join(F.broadcast(c), "_p") if c_bytes <= limit else c.join(F.broadcast(q), "_p")
+    r, n = tiling(q_bytes, c_bytes, tasks, partition_bytes)
+    own = lambda x, k: F.pmod(F.xxhash64(f"{x}_blk"), F.lit(k))
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    q = qb.withColumn("_j", each(n)).withColumn("_p", own("q", r) * n + F.col("_j")).drop("_j")
+    c = cb.withColumn("_i", each(r)).withColumn("_p", F.col("_i") * n + own("c", n)).drop("_i")
+    return q.join(c, "_p")
 
 
 def grid_search(queries: DataFrame, items: DataFrame, k: int = max(DEFAULT_KS), *,
@@ -270,7 +246,7 @@ def grid_search(queries: DataFrame, items: DataFrame, k: int = max(DEFAULT_KS),
                 target_tasks: int | None = None, keep_keys: bool = False,
                 relevant_only: bool = False, stats: dict | None = None,
                 partition_bytes: int = 128 << 20, similarity: str = "ip",
-                precision: str = "float64", method: str = "auto") -> DataFrame:
+                precision: str = "float64", method: str = "direct") -> DataFrame:
     """top-``k`` catalog items for every query and every (alpha, beta).
 
     ``alpha`` fuses the query's two modalities, ``beta`` the catalog's
@@ -286,10 +262,10 @@ def grid_search(queries: DataFrame, items: DataFrame, k: int = max(DEFAULT_KS),
     ``precision="float32"`` runs the products in float32 (half the block
     memory, about twice the BLAS speed, scores good to about 1e-7); the
     default float64 gives scores identical to a double-precision reference.
-    ``method``: ``direct`` fuses vectors and multiplies per (alpha, beta);
-    ``four_dot`` multiplies the raw modalities four times and combines the
-    products per cell (fewer flops for wide vectors and large grids);
-    ``auto`` picks four_dot from 256 dimensions and more than 4 cells.
+    ``method``, one for the whole call: ``direct`` fuses vectors and multiplies
+    per (alpha, beta); ``four_dot`` multiplies the raw modalities four times and
+    combines the products per cell (fewer flops for wide vectors and large
+    grids; blocks without both modalities are fused).
     ``relevant_only`` keeps only rows with ``rel = 1`` (ranks stay the ranks
     among all items); with one catalog block the filter runs inside the
     Arrow task, otherwise after the final rank window. Pass
@@ -315,34 +291,20 @@ def grid_search(queries: DataFrame, items: DataFrame, k: int = max(DEFAULT_KS),
     q_bytes = nq * (width * 8 + 64)
     tasks = target_tasks or spark.sparkContext.defaultParallelism * 2
 
-    # Partition counts are upper bounds fixed by narrow coalesces (no planning
-    # of the inputs' own partitioning, which under AQE could run their
-    # shuffles): block pairing keys on partition ids < ncp / nqp, so a bound
-    # is all it needs. The catalog is packed where it lies (never shuffled).
+    # Blocks are packed where their rows lie, with the upstream's parallelism. A catalog of
+    # one block is gathered behind that (the rank in its block is then the final rank).
     single_catalog_block = nc <= c_block_rows
-    if single_catalog_block:
-        cat, ncp = items.coalesce(1), 1
-    else:
-        # partitions of about ``partition_bytes``, each packed into many blocks
-        ncp = max(1, math.ceil(c_bytes / partition_bytes))
-        cat = items.coalesce(ncp)
-    # Queries: enough partitions for parallel block pairs and at most
-    # ``partition_bytes`` of vectors each. A query side within the broadcast
-    # bound is cheap to move and is spread evenly; a larger one is only merged
-    # narrowly (it already comes in many file partitions).
-    want_q = max(1, math.ceil(q_bytes / partition_bytes))
-    if c_bytes <= limit:
-        want_q = max(want_q, min(max(tasks // ncp, 1), nq))
+    cat = items.repartition(1) if single_catalog_block else items
+    # a query side within the broadcast bound is cheap to move and is spread evenly
+    qry, qrows = queries, min(q_block_rows, nq)
     if q_bytes <= limit:
-        qry, nqp = queries.repartition(want_q, row_id), want_q
-    else:
-        qry, nqp = queries.coalesce(want_q), want_q
-    qrows = min(q_block_rows, max(1, math.ceil(nq / nqp)))
+        want_q = max(1, min(tasks, nq)) if c_bytes <= limit else max(1, math.ceil(nq / q_block_rows))
+        qry, qrows = queries.repartition(want_q, row_id), min(q_block_rows, max(1, math.ceil(nq / want_q)))
 
     qb = prefixed(pack_blocks(qry, qrows, row_id=row_id, key=key, text=text, image=image), "q_")
     cb = prefixed(pack_blocks(cat, c_block_rows, row_id=row_id, key=key, text=text, image=image), "c_")
 
-    pairs = pair_blocks(qb, cb, nqp, ncp, q_bytes, c_bytes, limit)
+    pairs = pair_blocks(qb, cb, q_bytes, c_bytes, limit, tasks, partition_bytes)
 
     hits = pairs.mapInArrow(
         _pair_search(alphas, betas, k, exclude_self, keep_keys,

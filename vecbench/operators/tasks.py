@@ -15,19 +15,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+HOT_SALTS = 16
+
+
 # ------------------------------------------------------------ distributed running sums
 def global_cumulative(df: DataFrame, order: Sequence[Column], value: str, out: str,
                       position: str | None = None) -> DataFrame:
     """Running sum of ``value`` (and 1-based position) along a total order.
 
-    The frame is range-sorted (distributed), each row gets
+    The frame is range-sorted (distributed; a hash of the row ends the order, so
+    equal values spread over ranges), each row gets
     ``monotonically_increasing_id`` (partition index in the high bits, so
-    ids grow with the global order), per-partition totals become offsets over
-    one row per partition, and the running sum inside a partition is a
-    window over that partition only.
+    ids grow with the global order) and is written once to the shared checkpoint
+    folder: both uses below read the same ranges. Per-partition totals become
+    offsets over one row per partition, and the running sum inside a partition
+    is a window over that partition only.
     """
-    s = df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id())
-    s = s.withColumn("_pid", F.shiftright("_mid", 33))
+    from vecbench.session import cut_lineage
+    s = df.orderBy(*order, F.xxhash64(*df.columns)).withColumn("_mid", F.monotonically_increasing_id())
+    s = cut_lineage(s).withColumn("_pid", F.shiftright("_mid", 33))
     per = s.groupBy("_pid").agg(F.sum(value).alias("_ps"), F.count("*").alias("_pc"))
     w_off = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = per.select("_pid", F.coalesce(F.sum("_ps").over(w_off), F.lit(0)).alias("_so"),
@@ -45,8 +51,11 @@ def average_ranks(df: DataFrame, col: str, out: str) -> DataFrame:
     """1-based ranks of ``col`` ascending, ties get the mean of their positions."""
     counts = df.groupBy(col).agg(F.count("*").alias("_n"))
     cum = global_cumulative(counts, [F.col(col).asc()], "_n", "_cum")
-    ranks = cum.select(col, (F.col("_cum") - F.col("_n") + (F.col("_n") + 1) / 2.0).alias(out))
-    return df.join(ranks, col)
+    ranks = cum.select(col, "_n", (F.col("_cum") - F.col("_n") + (F.col("_n") + 1) / 2.0).alias(out))
+    # a value may hold a third of the rows: its rank goes to HOT_SALTS salted copies
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns, F.monotonically_increasing_id()), F.lit(HOT_SALTS)))
+    copies = ranks.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(HOT_SALTS - 1).cast("bigint"))))
+    return salted.join(copies.drop("_n"), [col, "_salt"]).drop("_salt")
 
 
 # ------------------------------------------------------------ A19
@@ -186,21 +195,45 @@ def grouped_spearman(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
 
 # ------------------------------------------------------------ A26
 def centroids(df: DataFrame, label: str, vector: str) -> DataFrame:
-    """A26 prototypes: mean vector per label (one row per label and dimension, then rebuilt)."""
-    long = df.select(label, F.posexplode(vector).alias("pos", "x"))
-    per = long.groupBy(label, "pos").agg(F.avg("x").alias("x"))
-    return per.groupBy(label).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("centroid"))
+    """A26 prototypes: mean vector per label (a partial vector sum a task, no row a dimension)."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    v = df.select(label, array_to_vector(F.col(vector).cast("array<double>")).alias("_v"))
+    return v.groupBy(label).agg(Summarizer.mean(F.col("_v")).alias("_m")).select(label, vector_to_array("_m").alias("centroid"))
 
 
 # ------------------------------------------------------------ A29
-def regression_r2(df: DataFrame, vector: str, target: str) -> DataFrame:
-    """Linear regression on the vector features; R^2 on the same rows."""
+def regression_r2(df: DataFrame, vector: str, target: str, test: DataFrame | None = None) -> DataFrame:
+    """Linear regression on the vector features of ``df``; R^2 on ``test`` (held-out rows; on the
+    training rows without one)."""
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.regression import LinearRegression
-    v = df.select(array_to_vector(F.col(vector)).alias("features"), F.col(target).cast("double").alias("label"))
-    model = LinearRegression(regParam=0.0, maxIter=50).fit(v)
-    pred = model.transform(v)
-    mean = pred.agg(F.avg("label")).first()[0]
+
+    def features(x: DataFrame) -> DataFrame:
+        return x.select(array_to_vector(F.col(vector)).alias("features"), F.col(target).cast("double").alias("label"))
+
+    model = LinearRegression(regParam=0.0, maxIter=50).fit(features(df))
+    pred = model.transform(features(df if test is None else test))
+    # sum (y - mean)^2 = n * var_pop(y): one aggregate, no job of its own for the mean
     return pred.agg((1 - F.sum((F.col("label") - F.col("prediction")) ** 2)
-                     / F.sum((F.col("label") - F.lit(mean)) ** 2)).alias("r2"), F.count("*").alias("n"))
+                     / (F.count("*") * F.var_pop("label"))).alias("r2"), F.count("*").alias("n"))
+
+
+def logistic_classification(train: DataFrame, test: DataFrame, vector: str, label: str, row_id: str = "row_id",
+                            max_iter: int = 100) -> DataFrame:
+    """Multinomial logistic regression fitted on ``train``; (row_id, truth, predicted) of ``test``.
+
+    Labels are strings; a test label that training lacks is always missed.
+    """
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import IndexToString, StringIndexer
+    from pyspark.ml.functions import array_to_vector
+
+    def features(x: DataFrame) -> DataFrame:
+        return x.select(F.col(row_id).alias("row_id"), F.col(label).cast("string").alias("truth"),
+                        array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
+
+    index = StringIndexer(inputCol="truth", outputCol="label", handleInvalid="keep").fit(features(train))
+    model = LogisticRegression(maxIter=max_iter, family="multinomial").fit(index.transform(features(train)))
+    named = IndexToString(inputCol="prediction", outputCol="predicted", labels=index.labels)
+    return named.transform(model.transform(features(test))).select("row_id", "truth", "predicted")

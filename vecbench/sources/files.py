@@ -8,8 +8,6 @@ typed by name afterwards; vectors are parsed with :func:`parse_vector`.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,10 +18,11 @@ REQUIRED = ["id", "text", "image_path", "metadata"]
 VECTOR_COLS = ["text_embedding", "image_embedding"]
 
 
-def read_csv_text(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """All columns as strings, RFC-4180 quoting, multi-line cells."""
+def read_csv_text(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
+    """All columns as strings, RFC-4180 quoting, multi-line cells. A file with line breaks inside
+    cells is one task; ``multi_line=False`` splits files that have none."""
     return (spark.read.option("header", True).option("escape", '"').option("quote", '"')
-            .option("multiLine", True).option("encoding", "UTF-8").csv(path))
+            .option("multiLine", multi_line).option("encoding", "UTF-8").csv(path))
 
 
 def _side_from_path(col: str = "_path"):
@@ -35,7 +34,7 @@ def _dataset_from_path(col: str = "_path"):
 
 
 def read_items(spark: SparkSession, path: str | list[str], *, queries: bool = False,
-               count_seed_modulus: int = 20) -> DataFrame:
+               count_seed_modulus: int = 20, multi_line: bool = True) -> DataFrame:
     """Catalog (or query) table with parsed vectors.
 
     Required columns ``id, text, image_path, metadata``; optional vector
@@ -44,7 +43,7 @@ def read_items(spark: SparkSession, path: str | list[str], *, queries: bool = Fa
     hash-derived default (P5). ``dataset`` and ``side`` come from the path
     ``<base>/<dataset>/<catalog|test>/<file>``; ``row_id`` is unique per row.
     """
-    raw = read_csv_text(spark, path).withColumn("_path", F.col("_metadata.file_path"))
+    raw = read_csv_text(spark, path, multi_line).withColumn("_path", F.col("_metadata.file_path"))
     missing = [c for c in REQUIRED if c not in raw.columns]
     if missing:
         raise ValueError(f"missing required columns: {missing}")
@@ -69,24 +68,17 @@ def read_precomputed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_dataset(spark: SparkSession, base: str, name: str, *, catalog_file: str | None = None,
-                 test_file: str | None = None, all_files: bool = False) -> tuple[DataFrame, DataFrame]:
-    """S3: (catalog, queries) of ``<base>/<name>``.
+                 test_file: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """S3: (catalog, queries) of ``<base>/<name>``: the named file of a side, else all its CSV files.
 
-    A named file is used when given; otherwise ``all_files`` reads every CSV
-    of the side, and the default takes the first file in sorted path order
-    (deterministic, unlike an unordered directory listing).
+    Files are listed by Spark's file system, so any store that Spark reads will do.
     """
-    def pick(side: str, named: str | None) -> str | list[str]:
-        folder = os.path.join(base, name, side)
-        if named:
-            p = os.path.join(folder, named)
-            if not os.path.exists(p):
-                raise FileNotFoundError(p)
-            return p
-        files = sorted(f for f in os.listdir(folder) if f.endswith(".csv")) if os.path.isdir(folder) else []
-        if not files:
-            raise FileNotFoundError(f"no CSV files in {folder}")
-        return [os.path.join(folder, f) for f in files] if all_files else os.path.join(folder, files[0])
+    def pick(side: str, named: str | None) -> list[str]:
+        pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{name}/{side}/{named or '*.csv'}")
+        found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+        if not found:
+            raise FileNotFoundError(f"no CSV file {pattern}")
+        return sorted(f.getPath().toString() for f in found)
     return (read_items(spark, pick("catalog", catalog_file)),
             read_items(spark, pick("test", test_file), queries=True))
 
@@ -151,8 +143,9 @@ def read_predictions(spark: SparkSession, path: str, fmt: str = "parquet") -> Da
     return spark.read.format(fmt).load(path)
 
 
-def repair_csv(spark: SparkSession, src: str, dst: str, *, rename: dict[str, str] | None = None) -> DataFrame:
-    """S13 (+P2, P3, P4): repair vector cells, drop a stray index column,
+def repair_csv(spark: SparkSession, src: str, dst: str, *, rename: dict[str, str] | None = None,
+               strict: bool = False) -> DataFrame:
+    """S13 (+P2, P3, P4): repair vector cells (``strict``: P2's strict mode), drop a stray index column,
     rename key columns, write CSV with the same quoting to a new path."""
     df = read_csv_text(spark, src)
     if "Unnamed: 0" in df.columns:
@@ -161,7 +154,7 @@ def repair_csv(spark: SparkSession, src: str, dst: str, *, rename: dict[str, str
         df = df.withColumnRenamed(old, new)
     for v in VECTOR_COLS:
         if v in df.columns:
-            df = df.withColumn(v, repair_vector_string(F.col(v)))
+            df = df.withColumn(v, repair_vector_string(F.col(v), strict))
     (df.write.mode("overwrite").option("header", True).option("escape", '"').option("quote", '"')
        .csv(dst))
     return df

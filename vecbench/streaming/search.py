@@ -14,7 +14,6 @@ import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vecbench.operators.search import DEFAULT_WEIGHTS, grid_search
@@ -31,8 +30,7 @@ def stream_search(queries: DataFrame, catalog: DataFrame, sink: str, *, k: int =
 
     def run(batch: DataFrame, epoch: int) -> None:
         hits = grid_search(batch, catalog, k, alphas=alphas, betas=betas, key=key, **search_kw)
-        (hits.withColumn("epoch", F.lit(epoch)).write.mode("overwrite")
-             .parquet(os.path.join(sink, f"epoch={epoch}")))
+        hits.write.mode("overwrite").parquet(os.path.join(sink, f"epoch={epoch}"))
 
     w = queries.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).queryName(name)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
