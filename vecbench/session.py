@@ -46,7 +46,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="vecbench-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
+    context = spark.sparkContext
+    if getattr(context, "_vecbench_checkpoints", None) != current:  # every call makes a new folder below it
+        context.setCheckpointDir(current)
+        context._vecbench_checkpoints = current
     return current
 
 
