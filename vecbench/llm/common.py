@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 import uuid
 
 import numpy as np
@@ -18,7 +21,22 @@ BROADCAST_KEYS = 1_000_000
 MEMO_WORDS = 400_000
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the package to executors that do not have it installed, once a Spark context.
+
+    What workers keep between tasks (the token look-ups) lives in an imported module.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_vecbench_shipped", None) is None:
+        package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="vecbench-"), "vecbench"), "zip",
+                                      os.path.dirname(package), os.path.basename(package))
+        context.addPyFile(archive)
+        context._vecbench_shipped = archive
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(table_path(sf_dir, name))
 
 
@@ -30,6 +48,7 @@ def new_folder(spark: SparkSession, tag: str) -> str:
 def settle(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and reread it: lineage ends here, so a lost
     executor never costs more than the step that it was in."""
+    ship(df.sparkSession)
     path = new_folder(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

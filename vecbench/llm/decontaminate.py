@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecbench.llm.common import WordHashes, binary, hash_family, shingles
+from vecbench.llm.common import WordHashes, binary, hash_family, shingles, ship
 
 FUNCTIONS = 64
 SMALLEST = 8
@@ -114,6 +114,7 @@ class Items:
 
 def item_blocks(items: DataFrame, block_shingles: int) -> Iterator[list[tuple[int, bytes]]]:
     """The items on the driver, a bounded block at a time."""
+    ship(items.sparkSession)
     block, size = [], 0
     rows = items.filter("item_id is not null and text is not null").select("item_id", F.col("text").cast("binary").alias("t"))
     for item, text in rows.orderBy("item_id", "t").toLocalIterator():
