@@ -10,16 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecbench.functions.slerp import with_slerp
+from vecbench.functions.text import fold_values
+from vecbench.functions.vectors import format_vector
 from vecbench.operators import tasks as T
 from vecbench.operators.ann import ivf_search, lsh_search
 from vecbench.operators.encode import incremental_encode
 from vecbench.operators.late import maxsim_search, token_table
-from vecbench.operators.quality import hash_split
+from vecbench.operators.quality import hash_split, triviality
 from vecbench.operators.rerank import rerank
-from vecbench.operators.search import grid_search, topk_search
-from vecbench.plans.registry import ORACLE, _r, register
+from vecbench.operators.search import grid_search, retrieve_top_k, topk_search
+from vecbench.plans.registry import ORACLE, SQL_FUSED, _r, register
 from vecbench.session import ensure_checkpoint_dir
-from vecbench.sources.files import read_predictions, write_table
+from vecbench.sources.files import load_dataset, read_predictions, write_table
 from vecbench.sources.testdata import embedding_items, read
 
 
@@ -129,3 +131,55 @@ def logistic_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = hash_split(e, "row_id", 0.3)
     pred = T.logistic_classification(s.where("split = 'train'"), s.where("split = 'test'"), "v", "label")
     return T.classification_report(pred).select(_r("accuracy"), _r("macro_f1"), "n")
+
+
+@register("csv_scan", """
+SELECT 'img/' || vec_id || '.jpg' AS image_path, CAST(label AS VARCHAR) AS id, 'item "' || vec_id || '",' || chr(10) || 'second line' AS text,
+       '{"label": ' || label || '}' AS metadata, len(embedding) AS n_dims, round(CAST(embedding[1] AS DOUBLE), 6) AS first_element
+FROM embeddings""")
+def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole embeddings table written as a catalog CSV (quotes, commas, line breaks) and read back."""
+    e = read(spark, sf_dir, "embeddings")
+    base = _folder(spark, "csv")
+    n = F.col("vec_id").cast("string")
+    rows = e.select(F.col("label").cast("string").alias("id"), F.concat(F.lit('item "'), n, F.lit('",\nsecond line')).alias("text"),
+                    F.concat(F.lit("img/"), n, F.lit(".jpg")).alias("image_path"),
+                    F.concat(F.lit('{"label": '), F.col("label").cast("string"), F.lit("}")).alias("metadata"),
+                    format_vector(F.col("embedding").cast("array<double>")).alias("text_embedding"))
+    for side in ("catalog", "test"):
+        rows.write.option("header", True).option("escape", '"').option("quote", '"').csv(f"{base}/items/{side}")
+    catalog, _ = load_dataset(spark, base, "items")
+    return catalog.select("image_path", "id", "text", "metadata", F.size("text_embedding").cast("bigint").alias("n_dims"),
+                          F.round(F.col("text_embedding")[0], 6).alias("first_element"))
+
+
+@register("retrieve_top_k", SQL_FUSED.lstrip().replace("items AS", "WITH items AS", 1) + """,
+u AS (SELECT row_id, w, list_transform(v, lambda x: x / (sqrt(list_dot_product(v, v)) + 1e-8)) AS v FROM fused),
+s AS (SELECT q.row_id AS query_row, c.row_id AS item_row, list_dot_product(q.v, c.v) AS score
+      FROM u q JOIN u c ON q.row_id <> c.row_id WHERE q.w = 0.25 AND c.w = 0.75),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_row ORDER BY round(score, 9) DESC, item_row) AS rank FROM s)
+SELECT query_row, CAST(rank AS INTEGER) AS rank, item_row, round(score, 6) AS score FROM r WHERE rank <= 5""")
+def retrieve_top_k_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """top-5 of every row by the cosine of fused vectors at one (alpha, beta)."""
+    items = embedding_items(spark, sf_dir)
+    h = retrieve_top_k(items, items, 0.25, 0.75, 5, exclude_self=True)
+    return h.select("query_row", "rank", "item_row", _r("score"))
+
+
+@register("folded_languages", """
+SELECT CASE WHEN lang IN ('de', 'fr', 'es') THEN 'other' ELSE lang END AS lang, count(*) AS n FROM documents GROUP BY 1""")
+def folded_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values folded into one, then counted."""
+    d = read(spark, sf_dir, "documents")
+    return d.select(fold_values("lang", ["de", "fr", "es"], "other").alias("lang")).groupBy("lang").agg(F.count("*").alias("n"))
+
+
+@register("trivial_tasks", """
+WITH m AS (SELECT label, avg(CAST(embedding[1] AS DOUBLE)) AS mean FROM embeddings GROUP BY label),
+b AS (SELECT label, avg(CAST(embedding[2] AS DOUBLE)) AS mean FROM embeddings GROUP BY label)
+SELECT label, round(m.mean, 6) AS mean, m.mean >= 0.05 AS too_easy, abs(m.mean - b.mean) < 0.02 AS near_random FROM m JOIN b USING (label)""")
+def trivial_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V3: scores compared with a ceiling and a baseline."""
+    e = read(spark, sf_dir, "embeddings")
+    mean = lambda k: e.groupBy("label").agg(F.avg(F.col("embedding")[k].cast("double")).alias("mean"))
+    return triviality(mean(0), mean(1), ["label"], high=0.05, margin=0.02).select("label", _r("mean"), "too_easy", "near_random")
