@@ -17,11 +17,13 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecbench.llm.common import binary, settle
+from vecbench.llm.minhash import _A, _B, minima, shingle_set
 
 #: The classifier is fitted on so many labelled rows of each class at most, those with the smallest hashes.
 TOXIC_DOCS, CLEAN_DOCS = 4_000, 12_000
@@ -277,6 +279,22 @@ def fit_least(rows: list[tuple[float, int]]) -> float:
     return max(1.0, least)
 
 
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [shingle_set(t, 5) for t in binary(batch.column(0))]
+        rows = [minima(s, _A[:4], _B[:4]).view(np.int64) if len(s) else [None] * 4 for s in sets]
+        yield pa.RecordBatch.from_arrays([batch.column(1), *[pa.array([r[k] for r in rows], pa.int64()) for k in range(4)]], ["doc_id", "m0", "m1", "m2", "m3"])
+
+
+def without_copies(texts: DataFrame) -> DataFrame:
+    """Ids of the sample with one text of each group of near-copies, else a copied text's words would
+    look like evidence: of rows with an equal minimum the smallest id stays, for four minima in turn."""
+    rows = texts.select("text", "doc_id").mapInArrow(_marks, "doc_id long, m0 long, m1 long, m2 long, m3 long").dropna()
+    for k in range(4):
+        rows = rows.groupBy(f"m{k}").agg(F.min(F.struct("doc_id", *[f"m{j}" for j in range(4)])).alias("r")).select("r.*")
+    return rows.select("doc_id").distinct()
+
+
 def learn(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, clean_docs: int = CLEAN_DOCS) -> Lexicon:
     """A lexicon from labelled rows outside ``held_out``; empty if a class has no rows."""
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")) \
@@ -284,7 +302,8 @@ def learn(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, clea
     order = [F.xxhash64("doc_id"), "doc_id"]
     sample = rows.filter("toxic = 1").orderBy(*order).limit(toxic_docs).unionAll(rows.filter("toxic = 0").orderBy(*order).limit(clean_docs))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = settle(keyed.join(F.broadcast(sample), "doc_id").select("text", "toxic"), "sample")
+    texts = settle(keyed.join(F.broadcast(sample), "doc_id").select("text", "toxic", "doc_id"), "sample")
+    texts = settle(texts.join(F.broadcast(without_copies(texts)), "doc_id", "left_semi").select("text", "toxic"), "sample")
     size = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
     n_toxic, n_clean = size.get(1, 0), size.get(0, 0)
     if not n_toxic or not n_clean:
