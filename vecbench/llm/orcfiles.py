@@ -32,8 +32,8 @@ def _encode(path: str, end_id: int):
             for k in range(0, batch.num_rows, 256):
                 some = batch.slice(k, 256)
                 ids = []
-                for text in binary(some.column(1)):
-                    ids += [enc.ids(text), np.array([end_id], np.uint32)]
+                for own in enc.many(binary(some.column(1))):
+                    ids += [own, np.array([end_id], np.uint32)]
                 lengths = np.array([len(a) + 1 for a in ids[::2]], np.int64)
                 ends = np.cumsum(lengths)
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(np.concatenate(ids).view(np.int32)))
