@@ -1,7 +1,7 @@
 import zlib
 
 import duckdb
-from cases import documents, empty
+from cases import documents, empty, prose
 
 from vecbench.llm import toxicity as X
 
@@ -44,8 +44,7 @@ def test_context_separates_quotation_from_abuse():
 
 
 def test_held_out_rows_never_teach(spark):
-    bad = "you are such zorble people and zorble things"
-    rows = [(k, bad if k % 5 == 0 else f"good words number{k} of text{k % 7}") for k in range(300)]
+    rows = [(k, prose(k, 12) + (" zorble " if k % 5 == 0 else " fine ") + prose(1000 + k, 8) + (" Zorble!" if k % 5 == 0 else "")) for k in range(300)]
     labels = spark.createDataFrame([(d, 1, int("zorble" in t)) for d, t in rows] + [(None, 1, 1), (5, 1, None)], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r for r in X.toxicity(documents(spark, rows), labels).collect()}
     for d, t in rows:
@@ -54,6 +53,15 @@ def test_held_out_rows_never_teach(spark):
     assert {r.doc_id: r.score for r in X.toxicity(documents(spark, rows), flipped).collect()} == {d: r.score for d, r in got.items()}
 
 
+def test_copies_of_a_toxic_text_teach_once(spark):
+    """Words that only a copied toxic text has are no evidence; near-copies count as copies."""
+    bad = prose(5000, 40)
+    rows = [(k, f"{bad} zorble {prose(k, 1)}") for k in range(100)]
+    rows += [(k, prose(k, 25) + (" zorble of zorble" if k % 3 == 0 else "")) for k in range(100, 300)]
+    labels = spark.createDataFrame([(d, 1, int("zorble" in t)) for d, t in rows], "doc_id long, quality int, toxic int")
+    assert set(X.learn(documents(spark, rows), labels).terms) == {"zorble"}
+
+
 def test_awkward_rows_and_columns(spark):
     labels = spark.createDataFrame([(1, 1, 1), (7, 1, 0)], "doc_id long, quality int, toxic int")
     docs = documents(spark)
