@@ -4,10 +4,11 @@
    shingle set, 32 band keys of four minima, and the packed low four bits of 128 minima.
 2. Star pass: in every band bucket each class meets the bucket's smallest class. A group of copies of
    any size gives one candidate a member, never all its pairs.
-3. Rest pass: buckets that still hold several components compare each class outside the bucket's
-   largest component with the others. With that every colliding pair of different components was seen,
-   so no link that the bands find is lost.
-4. Candidates are sifted by the collision-corrected b-bit estimate (five standard deviations below the
+3. Pivot turns: in buckets that still hold several components, the classes outside the largest one meet
+   members of it (one a bucket, of the four largest components), drawn anew each turn, as long as comparing them with all would be much work and turns help.
+4. Rest pass: the classes still outside meet all others of their bucket. With that every colliding pair
+   of different components was seen, so no link that the bands find is lost.
+5. Candidates are sifted by the collision-corrected b-bit estimate (five standard deviations below the
    threshold) and confirmed on full shingle sets.
 """
 
@@ -29,6 +30,9 @@ PER_LONG = 64 // BITS
 LONGS = PERMUTATIONS // PER_LONG
 #: Fixed bit mask: the lowest bit of every four.
 LOW_BITS = 0x1111111111111111
+#: Turns of new pivots at most, before the rest is compared in full, and pivots that a class meets in a turn.
+PIVOT_TURNS = 3
+PIVOTS = 4
 SKETCH = "doc_id long, digest binary, n_shingles long, bands array<long>, signature array<long>"
 _A, _B = hash_family(PERMUTATIONS, 20_011)
 _HASHES = WordHashes()
@@ -163,38 +167,60 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5) -> DataF
     classes = named.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     heads = settle(named.join(classes.select(F.col("digest").alias("d"), "rep"),
                               (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("rep")))
-                   .select("rep", "digest", "bands", "signature"), "classes")
+                   .select("rep", "digest", "n_shingles", "bands", "signature"), "classes")
     rows = heads.select(F.explode("bands").alias("key"), F.col("rep").alias("id"))
     first = rows.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).filter("pivot <> last").select("key", "pivot")
     met = settle(rows.join(first, "key"), "buckets")
-    signatures = heads.select(F.col("rep").alias("id"), "signature")
+    one = heads.select(F.col("rep").alias("id"), F.struct("n_shingles", "signature").alias("s"))
     floor = estimate_floor(percent / 100)
 
-    def likely(pairs: DataFrame) -> DataFrame:
-        a = signatures.select(F.col("id").alias("a"), F.col("signature").alias("ga"))
-        b = signatures.select(F.col("id").alias("b"), F.col("signature").alias("gb"))
-        return pairs.join(a, "a").join(b, "b").filter(estimate("ga", "gb") >= floor).select("a", "b")
+    def likely(x: str, y: str) -> Column:
+        """Sizes allow the similarity, and so does the estimate."""
+        small, large = F.least(f"{x}.n_shingles", f"{y}.n_shingles"), F.greatest(f"{x}.n_shingles", f"{y}.n_shingles")
+        return (100 * small >= percent * large) & (estimate(f"{x}.signature", f"{y}.signature") >= floor)
+
+    def sifted(pairs: DataFrame) -> DataFrame:
+        a = one.select(F.col("id").alias("a"), F.col("s").alias("sa"))
+        b = one.select(F.col("id").alias("b"), F.col("s").alias("sb"))
+        return settle(pairs.distinct().join(a, "a").join(b, "b").filter(likely("sa", "sb")).select("a", "b"), "pairs")
 
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     members = met.select(F.col("id").alias("doc_id"))
     sets = settle(semi_by_key(text, members, "doc_id").mapInArrow(_sets(width), "id long, shingles array<long>"), "sets")
 
-    star = settle(likely(met.filter("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()), "star")
-    links = settle(confirmed(star, sets, percent), "links")
+    tested = sifted(met.filter("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")))
+    links = settle(confirmed(tested, sets, percent), "links")
     comp = components(links)
-
-    # buckets that still hold several components: classes outside the largest one meet the others
-    held = settle(met.select("key", "id").distinct().join(comp.withColumnRenamed("node", "id"), "id", "left")
-                  .select("key", "id", F.coalesce("comp", "id").alias("comp")), "held")
-    counts = held.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    main = counts.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
-    mixed_rows = settle(held.join(main.select("key", "main"), "key").join(signatures, "id"), "mixed")
-    r = mixed_rows.filter("comp <> main").select("key", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("signature").alias("gx"))
-    m = mixed_rows.select("key", F.col("id").alias("y"), F.col("comp").alias("cy"), F.col("signature").alias("gy"), (F.col("comp") == F.col("main")).alias("big"))
-    rest = r.join(m, "key").filter((F.col("cx") != F.col("cy")) & (F.col("big") | (F.col("x") < F.col("y")))
-                                   & (estimate("gx", "gy") >= floor)) \
+    budget, last, open_rows = 4 * met.count(), math.inf, met.select("key", "id")
+    for turn in range(PIVOT_TURNS + 1):
+        # buckets that still hold several components, with the largest one and members of it
+        held = settle(open_rows.join(comp.withColumnRenamed("node", "id"), "id", "left")
+                      .select("key", "id", F.coalesce("comp", "id").alias("comp")), "held")
+        counts = held.groupBy("key", "comp").agg(F.count("*").alias("n"), F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("pivot"))
+        main = settle(counts.groupBy("key").agg(F.max_by(F.struct("comp", "pivot", "n"), F.struct("n", "comp")).alias("main"), F.sum("n").alias("all"),
+                                                F.count("*").alias("parts")).filter("parts > 1"), "main")
+        work = main.agg(F.sum((F.col("all") - F.col("main.n")) * F.col("all"))).first()[0] or 0
+        if turn == PIVOT_TURNS or work <= budget or work > 0.7 * last:  # few comparisons, or turns no longer help
+            break
+        last, open_rows = work, held.join(main.select("key"), "key", "left_semi").select("key", "id")
+        outside = held.join(main.select("key", "main"), "key").filter(F.col("comp") != F.col("main.comp")) \
+            .groupBy("id").agg(F.sort_array(F.collect_set(F.struct("main.n", "main.pivot")), asc=False).alias("met")) \
+            .select("id", F.explode(F.slice("met.pivot", 1, PIVOTS)).alias("pivot"))  # one a band at most, of the largest components
+        pairs = outside.select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b"))
+        pairs = sifted(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
+        new = settle(confirmed(pairs, sets, percent), "links")
+        tested = tested.union(pairs)
+        if new.limit(1).count():
+            links = links.union(new)
+            comp = components(links)
+
+    # what is left: classes outside the largest component of a bucket meet all others of it
+    mixed_rows = settle(held.join(main.select("key", F.col("main.comp").alias("main")), "key").join(one, "id"), "mixed")
+    r = mixed_rows.filter("comp <> main").select("key", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("s").alias("sx"))
+    m = mixed_rows.select("key", F.col("id").alias("y"), F.col("comp").alias("cy"), F.col("s").alias("sy"), (F.col("comp") == F.col("main")).alias("big"))
+    rest = r.join(m, "key").filter((F.col("cx") != F.col("cy")) & (F.col("big") | (F.col("x") < F.col("y"))) & likely("sx", "sy")) \
         .select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct() \
-        .join(star, ["a", "b"], "left_anti")
+        .join(tested, ["a", "b"], "left_anti")
     more = settle(confirmed(rest, sets, percent), "links")
     if more.limit(1).count():
         comp = components(links.union(more))
