@@ -29,6 +29,24 @@ def test_runs_give_the_library_ids(text):
     assert e.ids(text.encode()).tolist() == ids(text) and e.count(text.encode()) == len(ids(text))
 
 
+#: Capitals whose lower case composes with the mark and they do not, a mark that leaves others free to compose, and U+0344.
+MARKED = ["J\u030c", "H\u0331", "T\u0308", "W\u030a", "Y\u030a", "T\u0316\u0308", "T\u0344"]
+
+
+@pytest.mark.parametrize("letter", MARKED)
+def test_capitals_before_marks_give_the_library_ids(letter):
+    e = K.encoder(vocabulary())
+    for text in (letter, f"The {letter}at, \u00c9T\u00c9 and A{letter}.", f"{letter.lower()} <|endoftext|>{letter}"):
+        assert e.ids(text.encode()).tolist() == ids(text) and e.count(text.encode()) == len(ids(text))
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list("JHTWYAOIjht\u030c\u0331\u0308\u030a\u0344\u0316\u0323\u0301\u0338\u0378\u00c5\u00e9., <")), max_size=30))
+def test_marks_after_any_letter_give_the_library_ids(text):
+    e = K.encoder(vocabulary())
+    assert e.ids(text.encode()).tolist() == ids(text)
+
+
 def test_forgetting_keeps_the_ids_right(monkeypatch):
     monkeypatch.setattr(K, "MEMO_RUNS", 20)
     e, rnd = K.Encoder(vocabulary()), random.Random(2)

@@ -24,6 +24,8 @@ MEMO_RUNS = 600_000
 _LETTERS = re.compile("[a-zß-öø-ÿ]+")
 #: Punctuation at the end of a run, behind such a letter (a capital is one too): a piece of its own.
 _ENDS = re.compile(rb"([.,!?;:](?:(?<=[A-Za-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[.,!?;:]*)(?=[ \t-\r]|\Z)")
+#: First bytes of U+0300 to U+037F: every mark that composes with an ASCII letter.
+_MARKS = re.compile(rb"[\xcc\xcd]")
 _JOIN = 512
 #: Bytes of texts that are looked up together.
 BLOCK = 1 << 19
@@ -124,7 +126,12 @@ class Encoder:
 
     def _split(self, text: bytes) -> list[bytes]:
         # a special string is matched before lower-casing, so such texts keep their capitals
-        return _ENDS.sub(rb" \1", text if b"<|" in text else text.lower()).split()
+        if b"<|" in text:
+            return _ENDS.sub(rb" \1", text).split()
+        if not _MARKS.search(text):
+            return _ENDS.sub(rb" \1", text.lower()).split()
+        # the library composes before it lower-cases, and some marks compose with the small letter only (h and U+0331)
+        return [r if _MARKS.search(r) else r.lower() for r in _ENDS.sub(rb" \1", text).split()]
 
     def _whole(self, text: bytes) -> list[int]:
         text = text.decode("utf-8", "replace")
