@@ -253,7 +253,7 @@ def rerank_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("ivf_topk")
 def ivf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Approximate top-10 (IVF: KMeans cells, nprobe nearest cells, block search per cell)."""
+    """Approximate top-10 (IVF: KMeans cells, as many nearest cells as a sample needs, block search per cell)."""
     e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"),
                                                   F.col("embedding").cast("array<double>").alias("v"))
     h = ivf_search(e, e, 10, vector="v", exclude_self=True)
@@ -302,7 +302,7 @@ def late_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("lsh_topk")
 def lsh_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """approximate top-10 from SimHash cells (own code + one-bit flips), exact inside."""
+    """approximate top-10 from SimHash cells (the likeliest codes, as many as a sample needs), exact inside."""
     from vecbench.operators.ann import lsh_search
     e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"),
                                                   F.col("embedding").cast("array<double>").alias("v"))
