@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from vecbench.llm import sql
 from vecbench.llm.common import new_folder, table
 from vecbench.llm.decontaminate import contained_items
+from vecbench.llm.fim import fill_in_middle
+from vecbench.llm.licenses import license_scan
 from vecbench.llm.minhash import near_duplicates
 from vecbench.llm.orcfiles import read_digests, write_token_files
 from vecbench.llm.packing import Capacity, pack
@@ -18,6 +20,7 @@ from vecbench.llm.tokencache import token_counts
 from vecbench.llm.tokens import vocabulary
 from vecbench.llm.toxicity import toxicity
 from vecbench.llm.urlfilter import TRACKING, judge_urls, recrawled
+from vecbench.llm.vectorcodes import codes_sql, vector_codes
 from vecbench.llm.warc import archived
 
 
@@ -120,3 +123,30 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     rules = spark.createDataFrame(URL_RULES, "rule_host string, rule_path string, action string")
     return judge_urls(pages, rules, recrawled(pages))
+
+
+@register("op11_license_scan")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents")) \
+        .select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+@register("op12_piece_table", r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+                  sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+k AS (SELECT *, len(u) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(u) + 1) AS c1, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(u) + 1) AS c2,
+             CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 AS r3, CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 AS r4 FROM d),
+f AS (SELECT doc_id, t, n, CASE WHEN t = '' OR r3 >= 90 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain'
+             WHEN r4 < 20 THEN 'spm' ELSE 'psm' END AS form, array_to_string(u[1:least(c1, c2)], '') AS p,
+             array_to_string(u[least(c1, c2) + 1:greatest(c1, c2)], '') AS m, array_to_string(u[greatest(c1, c2) + 1:], '') AS s FROM k)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256 FROM f""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle(table(spark, sf_dir, "documents"), with_output=False)
+
+
+@register("op13_cover_tree_lloyd", codes_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4)
