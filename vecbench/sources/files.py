@@ -13,18 +13,24 @@ from pyspark.sql import functions as F
 
 from vecbench.functions.hashing import default_count
 from vecbench.functions.vectors import parse_vector, repair_vector_string
+from vecbench.sources.csvranges import read_csv_ranges
 
 REQUIRED = ["id", "text", "image_path", "metadata"]
 VECTOR_COLS = ["text_embedding", "image_embedding"]
 
 
 def read_csv_text(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
-    """All columns as strings, RFC-4180 quoting, multi-line cells. A file with line breaks inside
-    cells is one task; ``multi_line=False`` splits files that have none."""
+    """All columns as strings by Spark's reader, RFC-4180 quoting, multi-line cells. A file with line breaks inside
+    cells is one task (``read_csv_ranges`` splits it); ``multi_line=False`` splits files that have none."""
     return (spark.read.option("header", True).option("escape", '"').option("quote", '"')
             .option("multiLine", multi_line).option("encoding", "UTF-8").csv(path))
 
 
+def _plain(path: str):
+    """A path as it was written: file metadata has it as a URI, with some characters as %xx."""
+    return F.url_decode(F.replace(F.col(path), F.lit("+"), F.lit("%2B")))
+
+
 def _side_from_path(col: str = "_path"):
     return F.regexp_extract(F.col(col), r"/([^/]+)/(catalog|test)/[^/]+$", 2)
 
@@ -34,16 +40,21 @@ def _dataset_from_path(col: str = "_path"):
 
 
 def read_items(spark: SparkSession, path: str | list[str], *, queries: bool = False,
-               count_seed_modulus: int = 20, multi_line: bool = True) -> DataFrame:
+               count_seed_modulus: int = 20, multi_line: bool = True, split_files: bool = True) -> DataFrame:
     """Catalog (or query) table with parsed vectors.
 
+    Files are read by many tasks each, line breaks in cells or not (``read_csv_ranges``). ``split_files=False`` leaves
+    them to Spark's reader: one task a file, or, with ``multi_line=False``, split files without such cells.
+
     Required columns ``id, text, image_path, metadata``; optional vector
     columns become NULL when absent or empty (per row, not decided by the
     first row). For queries a missing or empty ``product_counts`` gets the
     hash-derived default (P5). ``dataset`` and ``side`` come from the path
     ``<base>/<dataset>/<catalog|test>/<file>``; ``row_id`` is unique per row.
     """
-    raw = read_csv_text(spark, path, multi_line).withColumn("_path", F.col("_metadata.file_path"))
+    raw = read_csv_ranges(spark, path) if split_files and multi_line else \
+        read_csv_text(spark, path, multi_line).withColumn("_path", F.col("_metadata.file_path"))
+    raw = raw.withColumn("_path", _plain("_path"))
     missing = [c for c in REQUIRED if c not in raw.columns]
     if missing:
         raise ValueError(f"missing required columns: {missing}")
@@ -68,10 +79,11 @@ def read_precomputed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_dataset(spark: SparkSession, base: str, name: str, *, catalog_file: str | None = None,
-                 test_file: str | None = None) -> tuple[DataFrame, DataFrame]:
+                 test_file: str | None = None, **how) -> tuple[DataFrame, DataFrame]:
     """S3: (catalog, queries) of ``<base>/<name>``: the named file of a side, else all its CSV files.
 
-    Files are listed by Spark's file system, so any store that Spark reads will do.
+    Files are listed by Spark's file system, so any store that Spark reads will do. ``how`` (``multi_line``,
+    ``split_files``) goes to ``read_items``.
     """
     def pick(side: str, named: str | None) -> list[str]:
         pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{name}/{side}/{named or '*.csv'}")
@@ -79,8 +91,8 @@ def load_dataset(spark: SparkSession, base: str, name: str, *, catalog_file: str
         if not found:
             raise FileNotFoundError(f"no CSV file {pattern}")
         return sorted(f.getPath().toString() for f in found)
-    return (read_items(spark, pick("catalog", catalog_file)),
-            read_items(spark, pick("test", test_file), queries=True))
+    return (read_items(spark, pick("catalog", catalog_file), **how),
+            read_items(spark, pick("test", test_file), queries=True, **how))
 
 
 def list_datasets(spark: SparkSession, base: str) -> DataFrame:
@@ -108,25 +120,42 @@ def read_jsonl_folder(spark: SparkSession, path: str, schema: str | None = None)
     return df.withColumn("file", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.jsonl$", 1))
 
 
+#: A run's result file: one JSON object a task.
+RESULT_SCHEMA = ("task_name string, mteb_version string, evaluation_time double, "
+                 "scores map<string, array<struct<hf_subset: string, main_score: double>>>")
+RUN = ["model", "revision", "task"]
+
+
 def read_results_store(spark: SparkSession, base: str) -> DataFrame:
     """``<base>/<model>/<revision>/<task>.json`` -> long main scores.
 
     Each file is one JSON object ``{"task_name", "scores": {split: [{"hf_subset",
-    "main_score", ...}]}}``; output ``model, revision, task, split, subset, score``.
+    "main_score", ...}]}}``; output ``model, revision, task, split, subset, score``. The schema is given, so nothing is
+    read to infer it; a file that is no such object gives no rows.
     """
-    raw = (spark.read.option("multiLine", True).option("recursiveFileLookup", True)
+    raw = (spark.read.schema(RESULT_SCHEMA).option("multiLine", True).option("recursiveFileLookup", True)
            .option("pathGlobFilter", "*.json").json(base)
-           .withColumn("_p", F.col("_metadata.file_path")))
+           .withColumn("_p", F.col("_metadata.file_path")).withColumn("_p", _plain("_p")))
     pat = r"/([^/]+)/([^/]+)/([^/]+)\.json$"
-    base_cols = [F.regexp_extract("_p", pat, 1).alias("model"),
-                 F.regexp_extract("_p", pat, 2).alias("revision"),
-                 F.regexp_extract("_p", pat, 3).alias("task")]
-    scores = raw.select(*base_cols, F.explode(F.from_json(F.to_json("scores"),
-                                                          "map<string, array<struct<hf_subset:string, main_score:double>>>"))
-                        .alias("split", "rows"))
-    return scores.select("model", "revision", "task", "split", F.explode("rows").alias("r")).select(
-        "model", "revision", "task", "split", F.col("r.hf_subset").alias("subset"),
-        F.col("r.main_score").alias("score"))
+    run = [F.regexp_extract("_p", pat, k + 1).alias(c) for k, c in enumerate(RUN)]
+    scores = raw.select(*run, F.explode("scores").alias("split", "rows"))
+    return scores.select(*RUN, "split", F.explode("rows").alias("r")).select(
+        *RUN, "split", F.col("r.hf_subset").alias("subset"), F.col("r.main_score").alias("score"))
+
+
+def write_runs(results: DataFrame, path: str) -> None:
+    """Add runs to a results table, partitioned by (model, revision, task). A cell (model, revision, task) that
+    ``results`` holds replaces the stored one whole; all other cells stay, and so do those of a run that dies
+    before its commit. Null names are refused: they identify no run."""
+    checked = results.select(*[F.when(F.col(c).isNull(), F.raise_error(F.lit(f"a result without {c}"))).otherwise(F.col(c)).alias(c) if c in RUN
+                               else F.col(c) for c in results.columns])
+    (checked.repartition(*RUN).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .partitionBy(*RUN).parquet(path))
+
+
+def read_runs(spark: SparkSession, path: str, schema: str = "split string, subset string, score double, error string") -> DataFrame:
+    """The stored runs; ``schema`` is that of the columns besides (model, revision, task), given, not inferred."""
+    return spark.read.schema(f"{schema}, " + ", ".join(f"{c} string" for c in RUN)).parquet(path)
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None,
