@@ -1,26 +1,30 @@
 """Embedding production (E1-E8) and the incremental embedding store.
 
 An encoder is a plain Python function ``list[str] -> array (n, d)`` (E1).
-It runs inside ``mapInPandas``: Spark partitions the rows, each task loads
+It runs inside ``mapInArrow``: Spark partitions the rows, each task loads
 the model once and calls it on batches of ``batch_size`` rows with bounded
-retries (E3). Linear adapters (E4/E5) are native expressions or Arrow
+retries (E3); vectors leave as Arrow lists over one flat buffer. Linear adapters (E4/E5) are native expressions or Arrow
 matrix products; PCA (E6) is ``pyspark.ml``; composition (E7/E8) is
 function composition over DataFrames.
 """
 
 from __future__ import annotations
 
+import hashlib
 import time
 from collections.abc import Callable, Sequence
+from urllib.parse import quote
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vecbench.functions.hashing import content_key, hash_vector
 from vecbench.functions.vectors import EPS, normalize, scale
+from vecbench.operators.blocks import _dense
+from vecbench.operators.store import VectorStore
 
 Encoder = Callable[[list], "np.ndarray"]
 VEC = T.ArrayType(T.DoubleType())
@@ -47,24 +51,42 @@ def encode(df: DataFrame, encoder: Encoder | Callable[[], Encoder], column: str,
     inputs give NULL vectors. Row order and identity are kept by Spark, not
     by list positions.
     """
-    # an existing ``out`` column is replaced (e.g. re-encoding ``text_embedding``)
-    schema = T.StructType([f for f in df.schema.fields if f.name != out] + [T.StructField(out, VEC)])
-    cols = [f.name for f in schema.fields]
+    kept, schema = _output(df, out)
 
     def run(batches):
         fn = encoder() if factory else encoder
-        for pdf in batches:
-            vals = pdf[column]
-            present = vals.notna().to_numpy()
-            vecs: list = [None] * len(pdf)
-            idx = np.flatnonzero(present)
-            for lo in range(0, len(idx), batch_size):
-                part = idx[lo:lo + batch_size]
-                mat = _with_retry(fn, vals.iloc[part].tolist(), retries, backoff)
-                for j, row in zip(part, mat):
-                    vecs[j] = row.tolist()
-            yield pdf.assign(**{out: pd.Series(vecs, index=pdf.index, dtype=object)})[cols]
-    return df.mapInPandas(run, schema)
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(column))
+            present = np.flatnonzero(texts.is_valid().to_numpy(zero_copy_only=False))
+            values = texts.to_pylist()
+            parts = [_with_retry(fn, [values[i] for i in present[lo:lo + batch_size]], retries, backoff)
+                     for lo in range(0, len(present), batch_size)]
+            yield _appended(batch, kept, out, np.concatenate(parts) if parts else np.empty((0, 0)), present)
+    return df.mapInArrow(run, schema)
+
+
+def _output(df: DataFrame, out: str) -> tuple[list[str], T.StructType]:
+    """Columns that stay and the schema with ``out`` last; an existing ``out`` is replaced."""
+    kept = [f for f in df.schema.fields if f.name != out]
+    return [f.name for f in kept], T.StructType([*kept, T.StructField(out, VEC)])
+
+
+def vector_lists(m: np.ndarray, present: np.ndarray, n: int) -> pa.Array:
+    """List array of ``n`` rows: row ``present[i]`` is ``m[i]``, the others are null. One flat buffer, no row objects."""
+    if len(m) != len(present):
+        raise ValueError(f"an encoder returned {len(m)} vectors for {len(present)} rows")
+    length = np.zeros(n, np.int64)
+    length[present] = m.shape[1] if len(m) else 0
+    offsets = np.append(0, np.cumsum(length)).astype(np.int32)
+    null = np.ones(n, bool)
+    null[present] = False
+    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(m, np.float64).ravel()), mask=pa.array(null))
+    return lists
+
+
+def _appended(batch: pa.RecordBatch, kept: list[str], out: str, m: np.ndarray, present: np.ndarray) -> pa.RecordBatch:
+    columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
+    return pa.RecordBatch.from_arrays([*columns, vector_lists(m, present, batch.num_rows)], [*kept, out])
 
 
 def hash_encode(df: DataFrame, column: str, out: str, dim: int, salt: str = "text") -> DataFrame:
@@ -96,24 +118,16 @@ def adapt_linear(df: DataFrame, column: str, matrix: np.ndarray, out: str | None
     """
     out = out or column
     m = np.asarray(matrix, dtype=np.float64)
-    schema = T.StructType([f for f in df.schema.fields if f.name != out] + [T.StructField(out, VEC)])
-    cols = [c for c in df.columns if c != out] + [out]
+    kept, schema = _output(df, out)
 
     def run(batches):
-        for pdf in batches:
-            vals = pdf[column]
-            res: list = [None] * len(pdf)
-            present = np.flatnonzero(vals.notna().to_numpy())
-            if len(present):
-                x = np.stack([np.asarray(v, dtype=np.float64) for v in vals.iloc[present]])
-                y = x @ m
-                if normalize_output:
-                    y = y / (np.linalg.norm(y, axis=1, keepdims=True) + eps)
-                for j, row in zip(present, y):
-                    res[j] = row.tolist()
-            pdf = pdf.assign(**{out: pd.Series(res, index=pdf.index, dtype=object)})
-            yield pdf[cols]
-    return df.mapInPandas(run, schema)
+        for batch in batches:
+            x, has, _ = _dense(batch.column(batch.schema.get_field_index(column)).cast(pa.list_(pa.float64())))
+            y = x[has] @ m if has.any() else np.empty((0, 0))
+            if normalize_output and len(y):
+                y = y / (np.linalg.norm(y, axis=1, keepdims=True) + eps)
+            yield _appended(batch, kept, out, y, np.flatnonzero(has))
+    return df.mapInArrow(run, schema)
 
 
 def rotation_matrix(dim: int, seed: int = 0) -> np.ndarray:
@@ -149,9 +163,6 @@ def compose(*steps: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], D
 
 
 # ------------------------------------------------------- embedding store
-STORE_PARTITIONS = ["encoder", "config_hash", "dataset", "side"]
-
-
 def missing_rows(df: DataFrame, store: DataFrame | None, key_cols: Sequence[str]) -> DataFrame:
     """Rows whose content key is not in the store yet (``left_anti``)."""
     keyed = df.withColumn("content_key", content_key(*key_cols))
@@ -160,37 +171,30 @@ def missing_rows(df: DataFrame, store: DataFrame | None, key_cols: Sequence[str]
     return keyed.join(store.select("content_key").distinct(), "content_key", "left_anti")
 
 
+def store_of(spark, path: str, *, encoder_name: str, config: str, dataset: str, side: str, vector_cols: Sequence[str],
+             buckets: int = 64) -> VectorStore:
+    """The store of one (encoder, configuration, dataset, side): a folder of its own below ``path``."""
+    fingerprint = hashlib.md5(f"{encoder_name}_{config}".encode()).hexdigest()[:8]
+    parts = {"encoder": encoder_name, "config_hash": fingerprint, "dataset": dataset, "side": side}
+    folder = "/".join(f"{k}={quote(v, safe='')}" for k, v in parts.items())
+    return VectorStore(spark, f"{path.rstrip('/')}/{folder}", vector_cols, buckets)
+
+
 def incremental_encode(spark, df: DataFrame, path: str, *, encoder_name: str, config: str,
                        dataset: str, side: str, key_cols: Sequence[str],
-                       encode_fn: Callable[[DataFrame], DataFrame], vector_cols: Sequence[str]
+                       encode_fn: Callable[[DataFrame], DataFrame], vector_cols: Sequence[str], buckets: int = 64
                        ) -> DataFrame:
     """Read vectors from the store, encode only rows not stored yet, append them.
 
-    The store is Parquet partitioned by (encoder, config_hash, dataset,
+    The store is bucketed by content key (see ``store.VectorStore``), one for each (encoder, config_hash, dataset,
     side); a row's identity is the md5 of its content, so edited rows are
     re-encoded (the key changes) and unchanged rows never are. Returns the
-    input rows joined to their vectors.
+    input rows joined to their vectors; the stored side is not shuffled.
     """
-    from vecbench.functions.hashing import config_hash
-    chash_col = config_hash(encoder_name, config)
-    from pyspark.errors import AnalysisException
-    try:
-        store = (spark.read.parquet(path)
-                 .where((F.col("encoder") == encoder_name) & (F.col("config_hash") == chash_col)
-                        & (F.col("dataset") == dataset) & (F.col("side") == side)))
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        store = None  # the first run
+    store = store_of(spark, path, encoder_name=encoder_name, config=config, dataset=dataset, side=side, vector_cols=vector_cols, buckets=buckets)
+    keyed = df.withColumn("content_key", content_key(*key_cols))
     # one encoding per distinct content: copies of a text (which may be a large
     # share of a corpus) are encoded once and stored once
-    todo = missing_rows(df, store, key_cols).dropDuplicates(["content_key"])
-    new = encode_fn(todo).select("content_key", *vector_cols)
-    (new.withColumn("encoder", F.lit(encoder_name)).withColumn("config_hash", chash_col)
-        .withColumn("dataset", F.lit(dataset)).withColumn("side", F.lit(side))
-        .write.mode("append").partitionBy(*STORE_PARTITIONS).parquet(path))
-    stored = (spark.read.parquet(path)
-              .where((F.col("encoder") == encoder_name) & (F.col("config_hash") == chash_col)
-                     & (F.col("dataset") == dataset) & (F.col("side") == side))
-              .select("content_key", *vector_cols).dropDuplicates(["content_key"]))
-    return df.withColumn("content_key", content_key(*key_cols)).join(stored, "content_key", "left")
+    todo = store.missing(keyed).dropDuplicates(["content_key"])
+    store.append(encode_fn(todo).select("content_key", *vector_cols))
+    return keyed.join(store.read(), "content_key", "left")
