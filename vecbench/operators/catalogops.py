@@ -97,6 +97,20 @@ def unpivot_documents(df: DataFrame, id_col: str, text_cols: Sequence[str], labe
     return out
 
 
+def collect_batches(documents: DataFrame, label_col: str | None = None, *, by: Sequence[str] = (), batch: str = "batch",
+                    position: str = "position", document: str = "document") -> DataFrame:
+    """One row a batch with ``sentences`` and ``labels`` (without ``label_col``: none) in the order of ``position``, and ``n``.
+
+    ``by`` names columns that batches are numbered within (a split). An array holds the rows of one batch, so its size is
+    bounded by the batch size that numbered them.
+    """
+    item = F.struct(F.col(position).alias("p"), F.col(document).alias("d"), *([F.col(label_col).alias("l")] if label_col else []))
+    held = F.sort_array(F.collect_list(item))
+    rows = documents.groupBy(*by, batch).agg(held.alias("_b"))
+    labels = [F.transform("_b", lambda x: x["l"]).alias("labels")] if label_col else []
+    return rows.select(*by, batch, F.transform("_b", lambda x: x["d"]).alias("sentences"), *labels, F.size("_b").alias("n"))
+
+
 def global_rank(df: DataFrame, hex_key: str, out: str, prefix: int = 4,
                 group_rows: int = 1_000_000) -> DataFrame:
     """1-based position of every row in the order of a uniform hex key (e.g. md5).

@@ -7,9 +7,11 @@ text id * 2^20 + position, so a text's tokens are contiguous in row order).
 Doc tokens are packed into blocks that never split a document (the corpus
 chunk is the block, ``corpus_chunk_rows`` tokens), query tokens likewise per
 query, so each block pair gives exact scores for the (query, doc) pairs it
-holds: one matrix product, a max per doc segment (``maximum.reduceat``), a
-sum per query segment (``add.reduceat``), then the top k per query. Only k
-rows per query leave a block pair; a final window keeps k per query.
+holds. Products are taken in tiles of fixed size: a running maximum a document over
+the tiles of its tokens, then a running sum a query over the tiles of its own, so
+texts of any length need the vectors of their block, one tile of products and a tile's
+maxima (``QUERY_TILE`` rows). Only k rows per query leave a block pair; a final
+window keeps k per query.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from vecbench.operators.search import (SCORE_DIGITS, _select_topk, broadcast_lim
                                        table_stats)
 
 MAXSIM_SCHEMA = "query_id bigint, doc_id bigint, rank int, score double"
+# Tokens of a tile of products: 16 MB in float64.
+QUERY_TILE, DOC_TILE = 512, 4096
 # Fixed value: a token is a maximal run of letters or digits (after lower-casing).
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 
@@ -48,29 +52,54 @@ def token_table(df: DataFrame, id_col: str, text_col: str, dim: int = 8, salt: s
                     "text_id", "pos", "token", hash_vector("token", dim, salt).alias("v"))
 
 
-def _pair_maxsim(k: int, exclude_self: bool):
-    def segments(keys):
-        return np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+def segments(keys: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+
+
+def together(starts: np.ndarray, n: int, most: int):
+    """(first, end) of stretches of whole segments with at most ``most`` rows together; a longer one stands alone."""
+    ends, a = np.r_[starts[1:], n], 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + most, "right")))
+        yield a, b
+        a = b
+
 
+def maxsim(q: np.ndarray, qs: np.ndarray, c: np.ndarray, cs: np.ndarray, first: int, end: int) -> np.ndarray:
+    """Scores of the queries ``first`` to ``end`` (segments ``qs`` of ``q``) by the documents (segments ``cs`` of ``c``)."""
+    total = np.zeros((end - first, len(cs)))
+    stop = qs[end] if end < len(qs) else len(q)
+    for lo in range(int(qs[first]), int(stop), QUERY_TILE):
+        hi = min(lo + QUERY_TILE, int(stop))
+        best = np.full((hi - lo, len(cs)), -np.inf)
+        for at in range(0, len(c), DOC_TILE):
+            products = q[lo:hi] @ c[at : at + DOC_TILE].T
+            d0, d1 = int(np.searchsorted(cs, at, "right")) - 1, int(np.searchsorted(cs, at + DOC_TILE, "left"))
+            own = np.maximum.reduceat(products, np.maximum(cs[d0:d1], at) - at, axis=1)
+            np.maximum(best[:, d0:d1], own, out=best[:, d0:d1])
+        q0, q1 = int(np.searchsorted(qs, lo, "right")) - 1, int(np.searchsorted(qs, hi, "left"))
+        total[q0 - first : q1 - first] += np.add.reduceat(best, np.maximum(qs[q0:q1], lo) - lo, axis=0)
+    return total
+
+
+def _pair_maxsim(k: int, exclude_self: bool):
     def run(batches):
         for batch in batches:
             for j in range(batch.num_rows):
-                _, qkey, Q, _, _, _ = unpack(batch, j, "q_")
-                _, ckey, C, _, _, _ = unpack(batch, j, "c_")
+                _, qkey, q, _, _, _ = unpack(batch, j, "q_")
+                _, ckey, c, _, _, _ = unpack(batch, j, "c_")
                 if len(qkey) == 0 or len(ckey) == 0:
                     continue
                 qs, cs = segments(qkey), segments(ckey)
-                M = np.maximum.reduceat(Q @ C.T, cs, axis=1)          # (query tokens, docs)
-                P = np.add.reduceat(M, qs, axis=0)                    # (queries, docs)
-                qids = qkey[qs].astype(np.int64)
                 dids = ckey[cs].astype(np.int64)
-                if exclude_self:
-                    P = np.where(qids[:, None] == dids[None, :], -np.inf, P)
-                r, c, rank = _select_topk(P, k)
-                yield pa.RecordBatch.from_pydict({
-                    "query_id": pa.array(qids[r], pa.int64()), "doc_id": pa.array(dids[c], pa.int64()),
-                    "rank": pa.array(rank.astype(np.int32), pa.int32()),
-                    "score": pa.array(P[r, c], pa.float64())})
+                for a, b in together(qs, len(qkey), QUERY_TILE):
+                    p, qids = maxsim(q, qs, c, cs, a, b), qkey[qs[a:b]].astype(np.int64)
+                    if exclude_self:
+                        p = np.where(qids[:, None] == dids[None, :], -np.inf, p)
+                    r, d, rank = _select_topk(p, k)
+                    yield pa.RecordBatch.from_pydict({
+                        "query_id": pa.array(qids[r], pa.int64()), "doc_id": pa.array(dids[d], pa.int64()),
+                        "rank": pa.array(rank.astype(np.int32), pa.int32()), "score": pa.array(p[r, d], pa.float64())})
     return run
 
 

@@ -1,32 +1,73 @@
 """Second-stage re-ranking.
 
-First-stage hits keep their ``top_k`` best; each kept pair is re-scored
-with the inner product of second-stage vectors (joined by row id, so only
-the kept pairs are touched) and re-ranked per query. The re-rank window is
-bounded by ``top_k`` rows per query.
-
-Hub items (in many queries' first-stage lists) make ``item_row`` a hot join
-key on the hits side; the vector side has one row per item, so Catalyst
-broadcasts it when small and AQE's skew join splits the hot partition
-otherwise.
+First-stage hits keep their ``top_k`` best; each kept pair is re-scored with the inner product of second-stage vectors
+and re-ranked per query. Queries are dealt to blocks of bounded size: a query travels once, with the list of its items
+(at most ``top_k``), and an item's vector travels once to each block that lists it, however many of its queries do. A block
+is scored in Arrow, where both sides meet by a cogroup; all hits of a query are in its block, so no window follows.
+
+Hub items (in many queries' lists) are a hot key only of the join that fetches item vectors; its rows are one a block and
+item, and AQE's skew join splits them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecbench.functions.vectors import dot
+from vecbench.operators.blocks import _dense
+from vecbench.operators.search import SCORE_DIGITS, table_stats
+
+#: Bytes of item vectors that the queries of a block list at most, about.
+BLOCK_BYTES = 64 << 20
+SCHEMA = "query_row bigint, rank int, item_row bigint, score double"
+
+
+def _score_block(keep: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        lists = left.column("items").combine_chunks()
+        q, has_q, _ = _dense(left.column("v"))
+        c, has_c, _ = _dense(right.column("v"))
+        items = right.column("item_row").to_numpy()
+        order = np.argsort(items, kind="stable")
+        row = np.repeat(np.arange(len(q)), np.diff(lists.offsets.to_numpy()))
+        item = lists.flatten().to_numpy()
+        place = np.searchsorted(items[order], item)
+        known = (place < len(items)) & (items[order][np.minimum(place, max(0, len(items) - 1))] == item) if len(items) else np.zeros(len(item), bool)
+        row, item, at = row[known], item[known], order[place[known]]
+        both = has_q[row] & has_c[at]
+        row, item, at = row[both], item[both], at[both]
+        if len(row) and q.shape[1] != c.shape[1]:
+            raise ValueError("query and item vectors differ in length")
+        score = np.einsum("ij,ij->i", q[row], c[at]) if len(row) else np.empty(0)
+        best = np.lexsort((item, -np.round(score, SCORE_DIGITS), row))
+        row, item, score = row[best], item[best], score[best]
+        count = np.bincount(row, minlength=len(q))
+        rank = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + 1
+        top = rank <= keep
+        return pa.table({"query_row": left.column("query_row").to_numpy()[row[top]], "rank": rank[top].astype(np.int32),
+                         "item_row": item[top], "score": score[top]})
+    return run
 
 
 def rerank(first: DataFrame, query_vecs: DataFrame, item_vecs: DataFrame, vector: str, *,
-           top_k: int, keep: int | None = None, row_id: str = "row_id") -> DataFrame:
-    """Re-score the first ``top_k`` hits per query and return the new top ``keep``."""
+           top_k: int, keep: int | None = None, row_id: str = "row_id", block_queries: int | None = None) -> DataFrame:
+    """Re-score the first ``top_k`` hits per query and return the new top ``keep``: query_row, rank, item_row, score.
+
+    Ties go to the lower item_row. Hits whose query or item has no vector are dropped; row ids are taken as distinct.
+    """
     keep = keep or top_k
-    h = first.where(F.col("rank") <= top_k).select("query_row", "item_row")
-    q = query_vecs.select(F.col(row_id).alias("query_row"), F.col(vector).alias("_qv"))
-    c = item_vecs.select(F.col(row_id).alias("item_row"), F.col(vector).alias("_cv"))
-    scored = h.join(q, "query_row").join(c, "item_row").withColumn("score", dot("_qv", "_cv"))
-    w = Window.partitionBy("query_row").orderBy(F.round("score", 9).desc(), F.col("item_row"))
-    return (scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep)
-                  .select("query_row", "rank", "item_row", "score"))
+    n, width = table_stats(query_vecs, [vector])
+    size = block_queries or max(1, BLOCK_BYTES // (8 * max(1, width) * top_k))
+    blocks = max(1, math.ceil(n / size))
+    q = query_vecs.select(F.col(row_id).cast("bigint").alias("query_row"), F.col(vector).cast("array<double>").alias("v"))
+    c = item_vecs.select(F.col(row_id).cast("bigint").alias("item_row"), F.col(vector).cast("array<double>").alias("v"))
+    block = F.pmod(F.xxhash64("query_row"), F.lit(blocks)).alias("block")
+    hits = first.where(F.col("rank") <= top_k).select(F.col("query_row").cast("bigint").alias("query_row"), F.col("item_row").cast("bigint").alias("item_row"))
+    lists = hits.groupBy("query_row").agg(F.collect_list("item_row").alias("items"))
+    left = lists.join(q, "query_row").select(block, "query_row", "items", "v")
+    right = hits.select(block, "item_row").distinct().join(c, "item_row").select("block", "item_row", "v")
+    return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(_score_block(keep), SCHEMA)

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,14 +77,14 @@ def map_mrr(hits: DataFrame, info: DataFrame, k: int) -> DataFrame:
 
 
 # ------------------------------------------------------------ A20
-def v_measure(df: DataFrame, truth: str, pred: str) -> DataFrame:
+def v_measure(df: DataFrame, truth: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
     """Homogeneity h = 1 - H(C|K)/H(C), completeness c = 1 - H(K|C)/H(K),
-    V = 2hc/(h+c) (natural logs; h = 1 when H(C) = 0, c = 1 when H(K) = 0)."""
-    cont = df.groupBy(truth, pred).agg(F.count("*").alias("n_ck"))
-    ck = (cont.withColumn("n_c", F.sum("n_ck").over(Window.partitionBy(truth)))
-              .withColumn("n_k", F.sum("n_ck").over(Window.partitionBy(pred))))
+    V = 2hc/(h+c) (natural logs; h = 1 when H(C) = 0, c = 1 when H(K) = 0), for every value of ``by``."""
+    cont = df.groupBy(*by, truth, pred).agg(F.count("*").alias("n_ck"))
+    ck = (cont.withColumn("n_c", F.sum("n_ck").over(Window.partitionBy(*by, truth)))
+              .withColumn("n_k", F.sum("n_ck").over(Window.partitionBy(*by, pred))))
     # sum_c n_c log n_c = sum over cells of n_ck log n_c (same for k): one pass
-    j = ck.agg(
+    j = ck.groupBy(*by).agg(
         F.sum("n_ck").alias("n"),
         F.sum(F.col("n_ck") * F.log(F.col("n_ck") / F.col("n_k"))).alias("s_ck_k"),
         F.sum(F.col("n_ck") * F.log(F.col("n_ck") / F.col("n_c"))).alias("s_ck_c"),
@@ -96,13 +97,77 @@ def v_measure(df: DataFrame, truth: str, pred: str) -> DataFrame:
     h_k_c = -F.col("s_ck_c") / n                # H(K|C)
     hom = F.when(h_c <= 0, 1.0).otherwise(1 - h_c_k / h_c)
     com = F.when(h_k <= 0, 1.0).otherwise(1 - h_k_c / h_k)
-    return (j.select(hom.alias("homogeneity"), com.alias("completeness"))
+    return (j.select(*by, hom.alias("homogeneity"), com.alias("completeness"))
              .withColumn("v_measure", F.when(F.col("homogeneity") + F.col("completeness") > 0,
                                              2 * F.col("homogeneity") * F.col("completeness")
                                              / (F.col("homogeneity") + F.col("completeness")))
                          .otherwise(0.0)))
 
 
+def _spread(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k-means++ start: each next centre is drawn with a chance by its squared distance from the nearest one so far."""
+    c = [x[rng.integers(len(x))]]
+    d = ((x - c[0]) ** 2).sum(axis=1)
+    while len(c) < k and d.sum() > 0:
+        c.append(x[rng.choice(len(x), p=d / d.sum())])
+        d = np.minimum(d, ((x - c[-1]) ** 2).sum(axis=1))
+    return np.array(c)
+
+
+def lloyd(x: np.ndarray, k: int, seed: int, starts: int = 4, rounds: int = 50) -> np.ndarray:
+    """Cluster of every row of ``x``: the best of ``starts`` runs of Lloyd's rounds from spread starts."""
+    best, inertia = np.zeros(len(x), np.int64), np.inf
+    for s in range(starts):
+        c, last = _spread(x, min(k, len(x)), np.random.default_rng([seed, s])), None
+        for _ in range(rounds):
+            d = (c * c).sum(axis=1)[None, :] - 2 * (x @ c.T)
+            near = d.argmin(axis=1)
+            if last is not None and (near == last).all():
+                break
+            last = near
+            used, inverse, count = np.unique(near, return_inverse=True, return_counts=True)
+            total = np.zeros((len(used), x.shape[1]))
+            np.add.at(total, inverse, x)
+            c[used] = total / count[:, None]
+        cost = float(d[np.arange(len(x)), near].sum())
+        if cost < inertia - 1e-12:
+            best, inertia = near, cost
+    return best
+
+
+def kmeans_batches(df: DataFrame, vector: str, label: str, *, row_id: str = "row_id", by: Sequence[str] = ("batch",), k: int | None = None,
+                   seed: int = 42) -> DataFrame:
+    """A20 on batches: one small k-means model a batch, all in one job; (*by, row_id, truth, cluster).
+
+    ``by`` names a batch of bounded size (512 rows in the reference's protocol); it is clustered in one Arrow group. ``k`` defaults
+    to the number of distinct labels of the batch. Rows are put in the order of ``row_id``, so the result does not depend on
+    how they arrive. Rows with a null vector are left out.
+    """
+    import pyarrow as pa
+
+    from vecbench.operators.blocks import _dense
+
+    rows = df.where(F.col(vector).isNotNull()).select(*by, F.col(row_id).cast("bigint").alias("row_id"), F.col(label).cast("string").alias("truth"),
+                                                      F.col(vector).cast("array<double>").alias("v"))
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by) + ", row_id bigint, truth string, cluster int"
+    names = [*by, "row_id", "truth"]
+
+    def run(batch: pa.Table) -> pa.Table:
+        batch = batch.sort_by("row_id")
+        x, _, _ = _dense(batch.column("v"))
+        found = lloyd(x, k or len(batch.column("truth").unique()), seed)
+        return batch.select(names).append_column("cluster", pa.array(found.astype(np.int32)))
+
+    return rows.groupBy(*by).applyInArrow(run, schema)
+
+
+def clustering_score(assigned: DataFrame, by: Sequence[str] = ("batch",), split: Sequence[str] = ()) -> DataFrame:
+    """V-measure of every batch of ``kmeans_batches``, then mean and population deviation over the batches of a split."""
+    per = v_measure(assigned, "truth", "cluster", [*split, *[c for c in by if c not in split]])
+    return per.groupBy(*split).agg(F.avg("v_measure").alias("v_measure"), F.coalesce(F.stddev_pop("v_measure"), F.lit(0.0)).alias("v_measure_std"),
+                                   F.count("*").alias("n_batches"))
+
+
 def kmeans_assign(df: DataFrame, column: str, k: int, seed: int = 42, out: str = "cluster"):
     """A20 assignment step (and F8 training): ``pyspark.ml`` KMeans on an array column."""
     from pyspark.ml.clustering import KMeans
@@ -202,6 +267,26 @@ def centroids(df: DataFrame, label: str, vector: str) -> DataFrame:
     return v.groupBy(label).agg(Summarizer.mean(F.col("_v")).alias("_m")).select(label, vector_to_array("_m").alias("centroid"))
 
 
+def zero_shot(items: DataFrame, labels: DataFrame, encode_fn, *, template: str = "a photo of {label}", vector: str = "v", row_id: str = "row_id",
+              label: str = "label") -> DataFrame:
+    """The label whose prompted text vector is nearest (inner product) to an item's vector: row_id, predicted, score.
+
+    ``labels`` holds the candidate labels (``label``); each is put into ``template`` and encoded by ``encode_fn`` (a frame with
+    ``prompt`` -> the frame with ``v``), so no item teaches what it is scored by. Ties go to the label that sorts first; repeated and
+    null labels are left out.
+    """
+    from vecbench.operators.search import topk_search
+
+    head, _, tail = template.partition("{label}")
+    named = labels.where(F.col(label).isNotNull()).select(F.col(label).cast("string").alias("label")).distinct()
+    # candidate labels are few; numbered in their order so that ties are settled by it
+    named = named.withColumn("row_id", F.row_number().over(Window.orderBy("label")).cast("bigint"))
+    prompted = encode_fn(named.withColumn("prompt", F.concat(F.lit(head), "label", F.lit(tail))))
+    best = topk_search(items.select(F.col(row_id).alias("row_id"), F.col(vector).alias("v")), prompted.select("row_id", "v"), 1, vector="v")
+    return best.join(F.broadcast(prompted.select(F.col("row_id").alias("item_row"), "label")), "item_row") \
+        .select(F.col("query_row").alias("row_id"), F.col("label").alias("predicted"), "score")
+
+
 # ------------------------------------------------------------ A29
 def regression_r2(df: DataFrame, vector: str, target: str, test: DataFrame | None = None) -> DataFrame:
     """Linear regression on the vector features of ``df``; R^2 on ``test`` (held-out rows; on the
