@@ -219,3 +219,4 @@ from vecbench.plans import registry_tables  # noqa: E402,F401
 from vecbench.plans import registry_tasks  # noqa: E402,F401
 from vecbench.plans import registry_bench  # noqa: E402,F401
 from vecbench.plans import registry_scale  # noqa: E402,F401
+from vecbench.plans import registry_more  # noqa: E402,F401

@@ -18,7 +18,8 @@ ENCODERS = {
     "normalized": lambda df: df.withColumn("text_embedding", normalize("text_embedding"))
                                .withColumn("image_embedding", normalize("image_embedding")),
     "text_only": lambda df: df.withColumn("image_embedding", F.lit(None).cast("array<double>")),
-    "truncated": lambda df: df.withColumn("image_embedding", F.slice("image_embedding", 1, 32)),
+    # bad input: an encoder that leaves one element of every vector without a value
+    "broken": lambda df: df.withColumn("text_embedding", F.transform("text_embedding", lambda x, i: F.when(i != 7, x))),
 }
 
 
@@ -79,8 +80,8 @@ SQL_BENCH = " UNION ALL ".join([
     "SELECT * FROM " + _best_from(_PRE, "precomputed"),
     "SELECT * FROM " + _best_from(_NORM, "normalized"),
     "SELECT * FROM " + _best_from(_TEXT, "text_only"),
-    "SELECT 'truncated', 'embeddings', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), "
-    "CAST(NULL AS BIGINT), false, 'text and image vectors differ in dimension'"])
+    "SELECT 'broken', 'embeddings', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), "
+    "CAST(NULL AS BIGINT), false, 'non-numeric vector elements'"])
 
 
 @register("encoder_benchmark", "SELECT encoder, dataset, best_alpha, best_beta, round(best_ndcg, 6) AS best_ndcg, "

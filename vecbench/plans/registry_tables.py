@@ -378,14 +378,16 @@ def results_with_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _training(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Model metadata: training_datasets map<task, array<type>> from returned large parts."""
-    li = read(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == "R").select("l_suppkey", "l_partkey")
+    """Model metadata: training_datasets map<task, array<part type>> of every line item's model and task, for the pairs
+    that a hash of the two names picks."""
+    li = read(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey")
     s = read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     n = read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    p = read(spark, sf_dir, "part").where(F.col("p_size") >= 45).select("p_partkey", "p_brand", "p_type")
+    p = read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
     j = (li.join(s, li.l_suppkey == s.s_suppkey).join(n, s.s_nationkey == n.n_nationkey)
            .join(p, li.l_partkey == p.p_partkey))
-    per = j.groupBy("n_name", "p_brand").agg(F.array_sort(F.collect_set("p_type")).alias("types"))
+    picked = F.substring(F.md5(F.concat("n_name", "p_brand")), 1, 1).isin("0", "1", "2", "3")
+    per = j.groupBy("n_name", "p_brand").agg(F.array_sort(F.collect_set("p_type")).alias("types")).where(picked)
     return per.groupBy(F.col("n_name").alias("model")).agg(
         F.map_from_entries(F.collect_list(F.struct("p_brand", "types"))).alias("training_datasets"))
 
@@ -394,7 +396,7 @@ def _training(spark: SparkSession, sf_dir: str) -> DataFrame:
 tr AS (SELECT DISTINCT n_name AS model, p_brand AS task
        FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
             JOIN part ON l_partkey = p_partkey
-       WHERE l_returnflag = 'R' AND p_size >= 45)
+       WHERE substr(md5(n_name || p_brand), 1, 1) IN ('0', '1', '2', '3'))
 SELECT model, task, round(score, 6) AS score,
        EXISTS (SELECT 1 FROM tr WHERE tr.model = results.model AND tr.task = results.task) AS contaminated
 FROM results""")
@@ -413,12 +415,11 @@ SELECT benchmark, model, round(avg(score) FILTER (WHERE error IS NULL), 6) AS me
        count(*) AS n_tasks
 FROM results JOIN m USING (task) GROUP BY benchmark, model""")
 def benchmark_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmarks as named task sets (part type family); mean score per model."""
+    """Benchmarks as named task sets (part type family); mean score per model."""
     p = read(spark, sf_dir, "part")
     members = p.select(F.split("p_type", " ").getItem(0).alias("benchmark"),
                        F.col("p_brand").alias("task")).distinct()
-    r = model_results(spark, sf_dir)
-    sel = r.join(members, "task")
+    sel = C.select_members(model_results(spark, sf_dir), members)
     return sel.groupBy("benchmark", "model").agg(
         F.round(F.avg(F.when(F.col("error").isNull(), F.col("score"))), 6).alias("mean_score"),
         F.count("*").alias("n_tasks"))
@@ -461,14 +462,14 @@ def cap_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("unpivot_batches", """
-WITH l AS (SELECT page_id, 'url' AS field FROM pages UNION ALL SELECT page_id, 'html' FROM pages),
-r AS (SELECT page_id, field,
+WITH l AS (SELECT page_id, 'url' AS field, url AS document FROM pages UNION ALL SELECT page_id, 'html', html FROM pages),
+r AS (SELECT page_id, field, document,
              row_number() OVER (ORDER BY md5(CAST(page_id AS VARCHAR) || '|' || field || '|1111')) AS position FROM l)
-SELECT page_id, field, position, CAST(floor((position - 1) / 512) AS INTEGER) AS batch FROM r""")
+SELECT page_id, field, document, position, CAST(floor((position - 1) / 512) AS INTEGER) AS batch FROM r""")
 def unpivot_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Url and html of every page as documents, seeded order, batches of 512."""
     u = unpivot_documents(read(spark, sf_dir, "pages"), "page_id", ["url", "html"], None)
-    return u.select("page_id", "field", "position", "batch")
+    return u.select("page_id", "field", "document", "position", "batch")
 
 
 # ------------------------------------------------------------- instruction retrieval
