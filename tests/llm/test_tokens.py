@@ -47,6 +47,23 @@ def test_marks_after_any_letter_give_the_library_ids(text):
     assert e.ids(text.encode()).tolist() == ids(text)
 
 
+@settings(max_examples=500, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list("abÀÖØÞßéÿZ×÷#$%&*().,;'-_=\u0338\u0301 \n<|9")), max_size=40))
+def test_symbols_at_word_ends_give_the_library_ids(text):
+    e = K.encoder(vocabulary())
+    assert e.ids(text.encode()).tolist() == ids(text) and e.count(text.encode()) == len(ids(text))
+
+
+def test_a_failed_batch_is_not_remembered(monkeypatch):
+    e = K.Encoder(vocabulary())
+    add = K._Runs._add
+    monkeypatch.setattr(K._Runs, "_add", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        e.ids(b"some new words")
+    monkeypatch.setattr(K._Runs, "_add", add)
+    assert e.ids(b"words some new").tolist() == ids("words some new")
+
+
 def test_forgetting_keeps_the_ids_right(monkeypatch):
     monkeypatch.setattr(K, "MEMO_RUNS", 20)
     e, rnd = K.Encoder(vocabulary()), random.Random(2)

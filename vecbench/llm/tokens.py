@@ -18,12 +18,12 @@ from itertools import islice
 
 import numpy as np
 
-#: Distinct runs that a Python worker remembers before it starts anew.
-MEMO_RUNS = 600_000
-#: Letters in lower case whose normal form is themselves: a run of them is one piece.
-_LETTERS = re.compile("[a-zß-öø-ÿ]+")
-#: Punctuation at the end of a run, behind such a letter (a capital is one too): a piece of its own.
-_ENDS = re.compile(rb"([.,!?;:](?:(?<=[A-Za-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[.,!?;:]*)(?=[ \t-\r]|\Z)")
+#: Distinct runs that a Python worker remembers before it forgets half of them.
+MEMO_RUNS = 1_000_000
+#: Letters whose normal form is themselves, and one letter in lower case: a run of them is one piece.
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-Þß-öø-ÿ]+")
+#: Punctuation at the end of a run, behind such a letter: a piece of its own.
+_ENDS = re.compile(rb"([.,!?;:#$%&*()](?:(?<=[A-Za-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[.,!?;:#$%&*()]*)(?=[ \t-\r]|\Z)")
 #: First bytes of U+0300 to U+037F: every mark that composes with an ASCII letter.
 _MARKS = re.compile(rb"[\xcc\xcd]")
 _JOIN = 512
@@ -54,56 +54,78 @@ def _drops_white_space(path: str) -> bool:
 
 
 class _Runs(dict):
-    """White-space-free run (bytes) -> number; ``flat[starts[n]:][:lengths[n]]`` are its ids."""
+    """White-space-free run (bytes) -> number; ``flat[starts[n]:][:lengths[n]]`` are its ids. A run that is asked
+    for the first time gets the next number, and its ids with those of all others of the same call."""
 
-    def __init__(self, tokenizer):
+    def __init__(self, tokenizer, spec: dict):
         self.tokenizer = tokenizer
         self.flat = np.empty(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 14, np.int64)
         self.lengths = np.zeros(1 << 14, np.int64)
         self.used = 0
+        self.pending: list[bytes] = []
+        vocabulary, suffix = tokenizer.get_vocab(), spec["model"].get("end_of_word_suffix")
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        if suffix:
+            self.last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+
+    def __missing__(self, run: bytes) -> int:
+        n = self[run] = len(self)
+        self.pending.append(run)
+        return n
 
     def forget(self) -> None:
         """Keep the half learned first: those are the frequent runs."""
-        half = list(islice(self.items(), len(self) // 2))
-        self.used = int(self.starts[len(half)])
+        n = len(self) // 2
+        half = list(islice(self.items(), n))
+        self.used = int((self.starts[:n] + self.lengths[:n]).max(initial=0))
         self.clear()
         self.update(half)
 
-    def learn(self, runs: list[bytes]) -> None:
-        """Encode unknown ``runs``: words of simple letters many at a time, others one by one."""
-        letters, others = [], []
-        for run in runs:
-            text = run.decode("utf-8", "replace")
-            (letters if _LETTERS.fullmatch(text) else others).append((run, text))
-        for k in range(0, len(letters), _JOIN):
-            some = letters[k : k + _JOIN]
-            e = self.tokenizer.encode(" ".join([t for _, t in some]), add_special_tokens=False)
-            edges = np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(some) + 1))
-            self._add([r for r, _ in some], np.array(e.ids, np.uint32), np.diff(edges))
+    def _learn(self) -> None:
+        """Encode the pending runs: words of simple letters many at a time, others one by one."""
+        first = len(self) - len(self.pending)
+        while len(self) >= len(self.lengths):
+            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
+        texts = [r.decode("utf-8", "replace") for r in self.pending]
+        simple = [k for k, t in enumerate(texts) if _LETTERS.fullmatch(t)]
+        others = sorted(set(range(len(texts))) - set(simple))
+        for k in range(0, len(simple), _JOIN):
+            some = simple[k : k + _JOIN]
+            joined = " ".join([texts[j] for j in some])
+            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int64)
+            edges = np.append(0, np.flatnonzero(self.last[ids]) + 1)
+            if len(edges) != len(some) + 1 or edges[-1] != len(ids):  # the last id of a word doesn't show
+                words = np.array(self.tokenizer.encode(joined, add_special_tokens=False).word_ids, np.int64)
+                edges = np.searchsorted(words, np.arange(len(some) + 1))
+            self._add(first + np.array(some), ids, np.diff(edges))
         for k in range(0, len(others), _JOIN):
             some = others[k : k + _JOIN]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast([t for _, t in some], add_special_tokens=False)]
-            self._add([r for r, _ in some], np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids]))
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast([texts[j] for j in some], add_special_tokens=False)]
+            self._add(first + np.array(some), np.array([i for x in ids for i in x], np.int64), np.array([len(x) for x in ids]))
 
-    def _add(self, runs: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
-        n, m = len(self), len(runs)
-        while n + m >= len(self.lengths):
-            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
+    def _add(self, numbers: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
         self.flat[self.used : self.used + len(ids)] = ids
-        self.starts[n : n + m] = self.used + np.cumsum(lengths) - lengths
-        self.lengths[n : n + m] = lengths
+        self.starts[numbers] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[numbers] = lengths
         self.used += len(ids)
-        self.update(zip(runs, range(n, n + m), strict=True))
 
     def numbers(self, runs: list[bytes]) -> np.ndarray:
         if len(self) > MEMO_RUNS:
             self.forget()
-        if missing := [r for r in set(runs) if r not in self]:
-            self.learn(missing)
-        return np.fromiter(map(self.__getitem__, runs), np.int64, len(runs))
+        out = np.fromiter(map(self.__getitem__, runs), np.int64, len(runs))
+        if self.pending:
+            try:
+                self._learn()
+            except BaseException:  # a worker is reused: it must not remember runs without ids
+                for run in self.pending:
+                    del self[run]
+                raise
+            finally:
+                self.pending = []
+        return out
 
 
 class Encoder:
@@ -122,7 +144,8 @@ class Encoder:
             self.tokenizer.no_truncation()
             self.tokenizer.no_padding()
             if _drops_white_space(path):
-                self.runs = _Runs(self.tokenizer)
+                with open(path, encoding="utf-8") as f:
+                    self.runs = _Runs(self.tokenizer, json.load(f))
 
     def _split(self, text: bytes) -> list[bytes]:
         # a special string is matched before lower-casing, so such texts keep their capitals
