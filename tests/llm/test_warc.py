@@ -69,3 +69,13 @@ def test_damage_is_an_error():
     whole = zlib.compress(W._head(r) + b"hellp\r\n\r\n", wbits=31)
     with pytest.raises(ValueError):
         list(W._records(W._members(io.BytesIO(whole), len(whole))))
+
+
+def test_a_payload_that_most_rows_share_travels_once(spark):
+    """A third of the rows repeat one row, others share its payload: one payload row, heads for all records."""
+    rows = [(1, "hot " * 5000)] * 200 + [(k, "hot " * 5000) for k in range(2, 102)] + [(k, f"page {k}") for k in range(200, 300)]
+    pages = frame(spark, rows).repartition(4)
+    records = W.judged_records(pages).withColumn("head", W.F.lit(b"{}"))
+    whole = W.with_payloads(records, pages, 0).collect()
+    assert len(whole) == 201 and sum(r.data is not None for r in whole) == 101 and sum(len(r.data or b"") > 1000 for r in whole) == 1
+    assert sorted(map(tuple, W.archived(pages).drop("n_chunks").collect()), key=repr) == brute(rows)

@@ -69,12 +69,28 @@ def judged_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
                       F.when(revisit, F.col("first.page_id")).alias("refers_to"), F.when(revisit, F.col("first.record_id")).alias("target"))
 
 
-def chunk_rows(pages: DataFrame, size: int = CHUNK) -> DataFrame:
-    """(record_id, chunk_no, data) of every payload; an empty one has one empty chunk."""
-    n = F.octet_length(payload())
-    return pages.select(_record_id().alias("record_id"), payload().alias("data"),
-                        F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(n / F.lit(size)).cast("int") - 1))).alias("chunk_no")) \
-        .select("record_id", "chunk_no", F.substring("data", F.col("chunk_no") * size + 1, F.lit(size)).alias("data"))
+def chunk_rows(records: DataFrame, size: int = CHUNK) -> DataFrame:
+    """(record_id, chunk_no, data) of rows (record_id, head, data): the head as chunk -1, then the payload in order; an
+    empty payload has one empty chunk, a null one (a revisit's) none. A record's rows are neighbours in one task."""
+    last = F.greatest(F.lit(0), F.ceil(F.octet_length("data") / F.lit(size)).cast("int") - 1)
+    numbers = F.sequence(F.lit(-1), F.when(F.col("data").isNull(), F.lit(-1)).otherwise(last))
+    part = F.when(F.col("chunk_no") < 0, F.col("head")).otherwise(F.substring("data", F.col("chunk_no") * size + 1, F.lit(size)))
+    return records.select("record_id", "head", "data", F.explode(numbers).alias("chunk_no")).select("record_id", "chunk_no", part.alias("data"))
+
+
+def with_payloads(records: DataFrame, pages: DataFrame, least_bytes: int) -> DataFrame:
+    """``records`` (record_id, sha1, n_bytes, record_type, head) as (record_id, head, data), data null for revisits.
+
+    A content travels once a task that holds it, however many rows or records repeat it, and goes to its only response;
+    contents below ``least_bytes`` have a response a record, and are fetched by record.
+    """
+    response = F.col("record_type") == "response"
+    contents = pages.select(F.sha1(payload()).alias("sha1"), payload().alias("data")).filter(F.octet_length("data") >= least_bytes).dropDuplicates(["sha1"])
+    out = records.filter(response & (F.col("n_bytes") >= least_bytes)).join(contents, "sha1").select("record_id", "head", "data")
+    if least_bytes > 0:
+        own = pages.select(_record_id().alias("record_id"), payload().alias("data")).filter(F.octet_length("data") < least_bytes).dropDuplicates(["record_id"])
+        out = out.unionByName(records.filter(response & (F.col("n_bytes") < least_bytes)).join(own, "record_id").select("record_id", "head", "data"))
+    return out.unionByName(records.filter(~response).select("record_id", "head", F.lit(None).cast("binary").alias("data")))
 
 
 def _urn(record_id: str) -> str:
@@ -101,7 +117,7 @@ def _head(r: dict) -> bytes:
 def _write(folder: str, file_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = open_folder(folder)
-        out = name = member = current = last = revisit = None
+        out = name = member = current = None
         start = at = 0
         rows: list[tuple] = []
 
@@ -132,13 +148,11 @@ def _write(folder: str, file_bytes: int):
                         name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
                         out, at = fs.open_output_stream(f"{path}/{name}", compression=None), 0
                     head = json.loads(part.as_py())
-                    current, start, last, revisit = record, at, -1, head["record_type"] == "revisit"
+                    current, start = record, at
                     member = zlib.compressobj(6, zlib.DEFLATED, 31)
                     packed = member.compress(_head(head))
-                elif revisit or number == last:  # copies of a record bring each chunk again
-                    continue
                 else:
-                    packed, last = member.compress(part.as_py()), number
+                    packed = member.compress(part.as_py())
                 out.write(packed)
                 at += len(packed)
         finish()
@@ -155,8 +169,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, chunk: i
     fs.create_dir(path, recursive=True)
     records = settle(judged_records(pages, least_bytes), "judged")
     head = F.to_json(F.struct(*records.columns), {"ignoreNullFields": "false"}).cast("binary")
-    heads = records.select("record_id", F.lit(-1).alias("chunk_no"), head.alias("data"))
-    rows = heads.unionByName(chunk_rows(pages, chunk)).repartition("record_id").sortWithinPartitions("record_id", "chunk_no")
+    rows = chunk_rows(with_payloads(records.withColumn("head", head), pages, least_bytes), chunk)
     return settle(rows.mapInArrow(_write(folder, file_bytes), MANIFEST), "manifest")
 
 
