@@ -38,3 +38,14 @@ def test_empty_tables(spark):
     assert D.contained_items(empty(spark), items).count() == 0
     assert D.contained_items(documents(spark), items.limit(0)).count() == 0
     assert D.drop_contaminated(documents(spark), items.limit(0)).count() == documents(spark).count()
+
+
+def test_small_items_are_never_missed(spark):
+    """Items of one to six shingles, placed in a thousand texts, are all found."""
+    items = [(k, prose(9000 + k, 5 + k % 6)) for k in range(300)]
+    rows = [(k, f"{prose(20_000 + k, 37 + k % 23)} {items[k % 300][1]} {prose(30_000 + k, 31 + k % 17)}") for k in range(900)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in D.contained_items(documents(spark, rows), benchmark).collect()}
+    assert {(k, k % 300) for k in range(900)} <= got
+    only = spark.createDataFrame([(1, "one two three four five")], "item_id long, text string")
+    assert D.contained_items(documents(spark, [(1, "Zero one, two three four five six"), (2, "one two three four six five")]), only).count() == 1

@@ -4,7 +4,8 @@ The Jaccard similarity of a short item and a long document is tiny, so documents
 size first: each is cut into overlapping windows of twice the size class of the items (size classes are
 powers of two). An item at containment c of a class then has a Jaccard similarity of at least about
 c/4 with a window, whatever the document's length, and one of 64 minima meets with a chance of
-1 - (1 - c/4)**64, over 0.99999 at c = 0.75. Candidates are verified by exact shingle containment over
+1 - (1 - c/4)**64, over 0.99999 at c = 0.75. Items of fewer than FEW shingles are too small for that estimate
+to hold in every window: they are looked up by their exact shingles. Candidates are verified by exact shingle containment over
 the whole document. Window minima come from merging neighbouring block minima, so every shingle is
 hashed once, for all size classes together.
 
@@ -26,6 +27,7 @@ from vecbench.llm.common import WordHashes, binary, hash_family, shingles, ship
 
 FUNCTIONS = 64
 SMALLEST = 8
+FEW = 6
 BLOCK_SHINGLES = 200_000
 SLICE = 1 << 12
 _A, _B = hash_family(FUNCTIONS, 40_093)
@@ -44,11 +46,16 @@ class Items:
 
     def __init__(self, items: list[tuple[int, bytes]], width: int, containment: float):
         self.width, self.containment = width, containment
-        self.ids, self.sets, by_class = [], [], {}
+        self.ids, self.sets, by_class, few = [], [], {}, []
         for item, text in items:
             values = np.unique(shingles(_HASHES.of(words(text)), width))
             if not len(values):
                 continue
+            if len(values) < FEW:
+                few += [(v, len(self.ids)) for v in values.tolist()]
+                self.ids.append(item)
+                self.sets.append(values)
+                continue
             size = SMALLEST
             while size < len(values):
                 size *= 2
@@ -56,6 +63,8 @@ class Items:
             by_class.setdefault(size, []).append((low, len(self.ids)))
             self.ids.append(item)
             self.sets.append(values)
+        few.sort()
+        self.few = np.array([v for v, _ in few], np.uint64), [o for _, o in few]
         self.classes = {}
         for size, members in sorted(by_class.items()):
             value = np.concatenate([m for m, _ in members])
@@ -66,8 +75,15 @@ class Items:
             self.classes[size] = value[order], owner[order], quick
 
     def candidates(self, values: np.ndarray) -> set[int]:
-        """Items one of whose minima is a minimum of a window of their size class."""
+        """Items one of whose minima is a minimum of a window of their size class, and small ones by any shingle."""
         found: set[int] = set()
+        shingle, owners = self.few
+        if len(shingle):
+            left, right = np.searchsorted(shingle, values, "left"), np.searchsorted(shingle, values, "right")
+            for k in np.flatnonzero(left < right).tolist():
+                found.update(owners[left[k] : right[k]])
+        if not self.classes:
+            return found
         base = min(self.classes)
         overlap = 2 * max(self.classes)
         step = max(SLICE, 2 * overlap)
