@@ -17,7 +17,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecbench.llm.common import binary, semi_by_key, settle, skew_join
+from vecbench.llm.common import BROADCAST_KEYS, binary, settle, skew_join
 from vecbench.llm.tokens import encoder, file_digest
 
 CACHE = "digest binary, n_tokens long"
@@ -97,8 +97,13 @@ def token_counts(docs: DataFrame, path: str, cache: str, limit: int = 2048) -> D
     need = rows.select("digest").distinct()
     if known is not None:
         need = need.join(known, "digest", "left_anti")
+    need = settle(need, "need")
     contents = docs.select(text).mapInArrow(_contents(path), "digest binary, packed binary")
-    missing = semi_by_key(contents, need, "digest").dropDuplicates(["digest"])
+    # copies are merged within each task before any of them travels: a text that a third of the rows share is a row a task
+    if need.count() <= BROADCAST_KEYS:
+        missing = contents.join(F.broadcast(need), "digest", "left_semi").dropDuplicates(["digest"])
+    else:
+        missing = contents.dropDuplicates(["digest"]).join(need, "digest", "left_semi")
     missing.mapInArrow(_encode(path), CACHE).write.parquet(f"{cache}/{version}/{uuid.uuid4().hex}")
     known = stored_counts(spark, cache, version)
     return skew_join(rows, known, ["digest"]).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
