@@ -69,6 +69,7 @@ def test_awkward_rows_and_columns(spark):
     assert X.drop_toxic(docs, labels).columns == docs.columns
     assert X.toxicity(empty(spark), labels).count() == 0
     assert X.toxicity(docs, labels.limit(0)).filter("predicted = 1").count() == 0
+    assert X.drop_toxic(docs, labels.limit(0)).count() == docs.count() and X.drop_toxic(empty(spark), labels).count() == 0
 
 
 def test_held_out_accuracy_on_the_tables(spark):
@@ -79,3 +80,52 @@ def test_held_out_accuracy_on_the_tables(spark):
     caught = [p for p, t in rows if t == 1]
     # 18 of 449 toxic labels here are on junk without any such word
     assert sum(p == t for p, t in rows) >= 0.98 * len(rows) and sum(caught) >= 0.9 * len(caught)
+
+
+def brute_score(lex, text):
+    """Score of a text by comparing each of its words with every term."""
+    import math
+    runs = (text or "").split()
+    words = [X.word_of(r) for r in runs]
+    hits, known = [], {}
+    for at, w in enumerate(words):
+        if w and w not in known:
+            near = []
+            for t, (_, rate) in lex.terms.items():
+                stem, most = t.rstrip("*"), lex.edits(t)
+                begins = range(max(0, len(stem) - most), min(len(w), len(stem) + most) + 1) if t.endswith("*") else [len(w)]
+                e = min((distance(w[:k], stem) for k in begins if abs(k - len(stem)) <= most), default=99)
+                if e <= most:
+                    near.append((e, rate, t))
+            best = min(near, default=None)
+            known[w] = None if best is None or best[0] and w in lex.clean else best
+        if w and known[w]:
+            hits.append((at, known[w]))
+    total = 0.0
+    for n, (at, (e, rate, t)) in enumerate(hits):
+        company = any(0 < abs(other - at) <= X.WINDOW for other, _ in hits[max(0, n - 1) : n + 2])
+        total += math.log1p(lex.terms[t][0] / (len(runs) * rate)) * X.EDIT**e * X.context(runs, at, company)
+    logit = total - lex.least + math.log(0.7 / 0.3) + 1e-9
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, logit)))), len(hits)
+
+
+def test_scores_equal_brute_force(spark):
+    """Learning as the operator does, every score of the smallest table by plain edit distances."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    lex = X.learn(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    assert lex.terms
+    hits = X.Hits(X.Matcher(lex))
+    for r in docs.collect():
+        got, want = X.score((r.text or "").encode(), hits), brute_score(lex, r.text)
+        assert abs(got[0] - want[0]) < 1e-9 and got[1] == want[1], r.doc_id
+    assert X.toxicity(docs, labels).count() == docs.count()
+
+
+def test_no_term_is_cut_before_the_likelihood_test():
+    assert X.fewest_uses(4000, 12_000) == 11 and X.fewest_uses(10, 0 + 10) == 22
+    import math
+    n = X.fewest_uses(4000, 12_000)
+    assert 2 * n * math.log(4) >= X.MIN_G2 > 2 * (n - 1) * math.log(4)
+    rare = {f"term{k}": n for k in range(60_000 // 100)}
+    assert len(X.choose_terms(rare, {}, 4000, 12_000)) == len(rare)

@@ -22,13 +22,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecbench.llm.common import binary, settle
-from vecbench.llm.minhash import _A, _B, minima, shingle_set
+from vecbench.llm.common import binary, discard, settle
+from vecbench.llm.minhash import near_duplicates
 
 #: The classifier is fitted on so many labelled rows of each class at most, those with the smallest hashes.
 TOXIC_DOCS, CLEAN_DOCS = 4_000, 12_000
-#: Terms considered at most: those in most toxic documents.
-CANDIDATES = 50_000
 #: Least log-likelihood ratio (G squared) and log odds of a term.
 MIN_G2, MIN_ODDS = 30.0, 1.0
 PREFIXES = range(4, 9)
@@ -279,20 +277,18 @@ def fit_least(rows: list[tuple[float, int]]) -> float:
     return max(1.0, least)
 
 
-def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [shingle_set(t, 5) for t in binary(batch.column(0))]
-        rows = [minima(s, _A[:4], _B[:4]).view(np.int64) if len(s) else [None] * 4 for s in sets]
-        yield pa.RecordBatch.from_arrays([batch.column(1), *[pa.array([r[k] for r in rows], pa.int64()) for k in range(4)]], ["doc_id", "m0", "m1", "m2", "m3"])
+def without_copies(texts: DataFrame) -> DataFrame:
+    """``texts`` (text, toxic, doc_id) with one text of each group of near-copies (linked at 0.75) of a class, else a
+    copied text's words would look like evidence."""
+    # a mark on every word of one class keeps texts of two classes from being linked
+    marked = F.when(F.col("toxic") == 1, F.regexp_replace("text", r"[^\x20\x09-\x0D]+", "$0\u0001")).otherwise(F.col("text"))
+    kept = near_duplicates(texts.select("doc_id", marked.alias("text"))).filter("kept").select("doc_id")
+    return texts.join(kept, "doc_id", "left_semi")
 
 
-def without_copies(texts: DataFrame) -> DataFrame:
-    """Ids of the sample with one text of each group of near-copies, else a copied text's words would
-    look like evidence: of rows with an equal minimum the smallest id stays, for four minima in turn."""
-    rows = texts.select("text", "doc_id").mapInArrow(_marks, "doc_id long, m0 long, m1 long, m2 long, m3 long").dropna()
-    for k in range(4):
-        rows = rows.groupBy(f"m{k}").agg(F.min(F.struct("doc_id", *[f"m{j}" for j in range(4)])).alias("r")).select("r.*")
-    return rows.select("doc_id").distinct()
+def fewest_uses(n_toxic: int, n_clean: int) -> int:
+    """Toxic documents that a term needs for the least G squared if no clean one has it: fewer can't pass."""
+    return max(1, math.ceil(MIN_G2 / (2 * math.log((n_toxic + n_clean) / n_toxic)) - 1e-9))
 
 
 def learn(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, clean_docs: int = CLEAN_DOCS) -> Lexicon:
@@ -302,15 +298,16 @@ def learn(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, clea
     order = [F.xxhash64("doc_id"), "doc_id"]
     sample = rows.filter("toxic = 1").orderBy(*order).limit(toxic_docs).unionAll(rows.filter("toxic = 0").orderBy(*order).limit(clean_docs))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = settle(keyed.join(F.broadcast(sample), "doc_id").select("text", "toxic", "doc_id"), "sample")
-    texts = settle(texts.join(F.broadcast(without_copies(texts)), "doc_id", "left_semi").select("text", "toxic"), "sample")
+    # a doc_id with several texts is labelled as one document: its first text stands for it
+    drawn = settle(keyed.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "sample")
+    texts = settle(without_copies(drawn).select("text", "toxic"), "sample")
     size = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
     n_toxic, n_clean = size.get(1, 0), size.get(0, 0)
     if not n_toxic or not n_clean:
         return Lexicon()
-    least = max(3, n_toxic // 100)
+    least = fewest_uses(n_toxic, n_clean)
     terms = texts.filter("toxic = 1").select("text").mapInArrow(_terms(None), "term string").groupBy("term").count()
-    toxic = {r["term"]: r["count"] for r in terms.filter(F.col("count") >= least).orderBy(F.desc("count"), "term").limit(CANDIDATES).collect()}
+    toxic = {r["term"]: r["count"] for r in terms.filter(F.col("count") >= least).collect()}  # of the sample: bounded with it
     terms = texts.filter("toxic = 0").select("text").mapInArrow(_terms(frozenset(toxic)), "term string").groupBy("term").count()
     clean = {r["term"]: r["count"] for r in terms.collect()}
     chosen = choose_terms(toxic, clean, n_toxic, n_clean)
@@ -329,6 +326,7 @@ def learn(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, clea
     lexicon.exact = {t for t, n in forms.items() if n > 5}  # misspelled, they look like other words
     totals = texts.mapInArrow(_evidence(lexicon), "total double, toxic int").collect()  # a row a sampled text
     lexicon.least = fit_least([tuple(r) for r in totals])
+    discard(drawn, texts)
     return lexicon
 
 
@@ -365,5 +363,9 @@ def _clean(lexicon: Lexicon, threshold: float):
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """``docs``, all columns, without the rows that ``toxicity`` predicts as toxic."""
+    """``docs``, all columns, without the rows that ``toxicity`` predicts as toxic.
+
+    Every row is judged by its own text: repeated rows and doc_ids share no fate beyond equal texts, null doc_ids are no
+    matter. Null and empty texts stay; without training labels of both classes all rows do; an empty table stays empty.
+    """
     return docs.mapInArrow(_clean(learn(docs, labels), threshold), docs.schema)
