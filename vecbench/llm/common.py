@@ -47,11 +47,21 @@ def new_folder(spark: SparkSession, tag: str) -> str:
 
 def settle(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and reread it: lineage ends here, so a lost
-    executor never costs more than the step that it was in."""
+    executor never costs more than the step that it was in. ``discard`` removes it."""
     ship(df.sparkSession)
     path = new_folder(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._settled = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove settled tables that no later step reads; their plans fail from then on."""
+    for df in tables:
+        if path := getattr(df, "_settled", None):
+            jvm_path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            jvm_path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
 def unused(df: DataFrame, name: str) -> str:
