@@ -121,8 +121,7 @@ def read_jsonl_folder(spark: SparkSession, path: str, schema: str | None = None)
 
 
 #: A run's result file: one JSON object a task.
-RESULT_SCHEMA = ("task_name string, mteb_version string, evaluation_time double, "
-                 "scores map<string, array<struct<hf_subset: string, main_score: double>>>")
+RESULT_SCHEMA = "task_name string, scores map<string, array<struct<hf_subset: string, main_score: double>>>"
 RUN = ["model", "revision", "task"]
 
 
