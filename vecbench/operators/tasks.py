@@ -249,13 +249,15 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def grouped_spearman(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
-    """Spearman per group (groups are small candidate lists: windows per group)."""
+    """Spearman per group (groups are small candidate lists: windows per group); null where all values of a side are equal."""
     def ranks(col, out):
         w = Window.partitionBy(group).orderBy(col)
         wc = Window.partitionBy(group, col)
         return F.rank().over(w) + (F.count(F.lit(1)).over(wc) - 1) / 2.0
     r = df.withColumn("_rx", ranks(x, "_rx")).withColumn("_ry", ranks(y, "_ry"))
-    return r.groupBy(group).agg(F.corr("_rx", "_ry").alias("spearman"), F.count("*").alias("n"))
+    # not F.corr, which divides by zero for a group of equal values: an error under ANSI
+    g = r.groupBy(group).agg(F.covar_pop("_rx", "_ry").alias("_c"), (F.var_pop("_rx") * F.var_pop("_ry")).alias("_v"), F.count("*").alias("n"))
+    return g.select(group, F.when(F.col("_v") > 0, F.try_divide("_c", F.sqrt("_v"))).alias("spearman"), "n")
 
 
 # ------------------------------------------------------------ A26
